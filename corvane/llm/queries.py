@@ -1,10 +1,13 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import substring_dedup
+from . import packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_quality_rules": quality_rules.SQL,
 }
