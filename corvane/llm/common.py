@@ -93,12 +93,12 @@ def grams(symbols: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
 class Words:
     """The words of some texts: one buffer in which single spaces part words, word spans and, by text, word ranges."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separators: np.ndarray = _SEP):
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(lengths, out=at[1:])
-        sep = _SEP[joined]
+        sep = separators[joined]
         keep = ~sep
         keep[1:] |= ~sep[:-1]  # the first separator after a word stays
         self.buf = np.where(sep[keep], np.uint8(32), joined[keep])

@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup
+from . import decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {
