@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity
+from . import decontamination, html_extraction, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
