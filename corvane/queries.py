@@ -1,4 +1,4 @@
 """The queries of the engine's own operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import relational  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
