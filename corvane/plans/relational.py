@@ -146,8 +146,8 @@ def j8(t: Tables) -> DataFrame:
 
 @query("J9_narrowest_interval", """
 WITH s AS (SELECT user_id, event_id AS span_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS a, CAST(epoch_us(lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000000 AS BIGINT) AS b FROM events),
-p AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS at FROM events)
-SELECT p.event_id, arg_min(s.span_id, (s.b - s.a, s.a, s.span_id)) AS span_id FROM p JOIN s ON p.user_id = s.user_id AND at BETWEEN a AND b GROUP BY p.event_id""")
+p AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS pt FROM events)
+SELECT p.event_id, arg_min(s.span_id, (s.b - s.a, s.a, s.span_id)) AS span_id FROM p JOIN s ON p.user_id = s.user_id AND pt BETWEEN a AND b GROUP BY p.event_id""")
 def j9(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", "ts", F.floor(micros("ts") / 1000000).cast("long").alias("at"))
     end = F.lead("at", 2).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
