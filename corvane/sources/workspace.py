@@ -1,0 +1,161 @@
+"""A workspace's files and its Python code as tables: files, symbols, refs, imports, literals.
+
+Only Python is parsed (with the standard library's ``ast``); symbols of other languages come as tables of the same shape."""
+
+from __future__ import annotations
+
+import ast
+import fnmatch
+import hashlib
+import os
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Directories that a walk never enters.
+SKIP = frozenset((".git", "target", "node_modules", "build", "dist", ".venv", "venv", "__pycache__", ".dart_tool"))
+MOST_LINES, MOST_REFS, LITERAL_KEY = 100_000, 15_000, 40
+SYMBOLS = "kind string, path string, qualified string, short string, symbol_kind string, start_line int, end_line int, parent string, docstring string, cyclomatic int, cognitive int, line int, name string, context string, imported string, alias string, text string"
+
+
+def walk(root: str, extensions: tuple[str, ...] = (".py",)) -> tuple[list[str], bool]:
+    """Paths below root, and whether the walk was complete. Hidden and skipped directories, links and what .gitignore names are left out."""
+    ignored: list[str] = []
+    complete = True
+
+    def failed(_: OSError) -> None:
+        nonlocal complete
+        complete = False
+
+    out = []
+    for top, dirs, files in os.walk(root, onerror=failed):
+        here = Path(top, ".gitignore")
+        if here.is_file():
+            ignored += [os.path.join(os.path.relpath(top, root), x.strip().strip("/")).removeprefix("./") for x in here.read_text(errors="replace").splitlines() if x.strip() and x[0] not in "#!"]
+        rel = lambda name: os.path.relpath(os.path.join(top, name), root)  # noqa: E731, B023
+        skip = lambda name: any(fnmatch.fnmatch(rel(name), p) or fnmatch.fnmatch(name, os.path.basename(p)) for p in ignored)  # noqa: E731, B023
+        dirs[:] = sorted(d for d in dirs if d not in SKIP and d[0] != "." and not os.path.islink(os.path.join(top, d)) and not skip(d))
+        out += [rel(f) for f in sorted(files) if f.endswith(extensions) and f[0] != "." and not os.path.islink(os.path.join(top, f)) and not skip(f)]
+    return out, complete
+
+
+def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",)) -> DataFrame:
+    """(path, content, content_hash): the driver lists the paths, the executors read the contents (root is a shared folder)."""
+    paths, _ = walk(root, extensions)
+    if not paths:
+        return spark.createDataFrame([], "path string, content string, content_hash string")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [Path(root, p).read_text(errors="replace") for p in b["path"]]
+            yield pd.DataFrame({"path": b["path"], "content": texts, "content_hash": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 64)).mapInPandas(read, "path string, content string, content_hash string")
+
+
+_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
+
+
+def complexity(node: ast.AST) -> tuple[int, int]:
+    """Cyclomatic and cognitive complexity of a function; an ``elif`` costs no nesting."""
+    cyclomatic, cognitive = 1, 0
+
+    def visit(n: ast.AST, depth: int, elif_: bool = False) -> None:
+        nonlocal cyclomatic, cognitive
+        for child in ast.iter_child_nodes(n):
+            chained = isinstance(n, ast.If) and child in n.orelse and isinstance(child, ast.If) and len(n.orelse) == 1
+            if isinstance(child, ast.BoolOp):
+                cyclomatic += len(child.values) - 1
+                cognitive += 1
+            if isinstance(child, _BRANCHES):
+                cyclomatic += 1
+                cognitive += 1 if chained else 1 + depth
+                visit(child, depth if chained else depth + 1, chained)
+            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
+                visit(child, depth + 1)
+            else:
+                visit(child, depth)
+
+    visit(node, 0)
+    return cyclomatic, cognitive
+
+
+def parse_python(path: str, content: str) -> list[dict]:
+    """Tagged rows (symbol, ref, import, literal) of one file; none if it cannot be parsed or is over the limits."""
+    if content.count("\n") > MOST_LINES:
+        return []
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError):
+        return []
+    rows: list[dict] = []
+    refs = 0
+
+    def visit(node: ast.AST, scope: list[str], inside: str) -> None:
+        nonlocal refs
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
+                c = complexity(child) if kind != "class" else (None, None)
+                rows.append({"kind": "symbol", "path": path, "qualified": "::".join([*scope, child.name]), "short": child.name, "symbol_kind": kind, "start_line": child.lineno, "end_line": child.end_lineno, "parent": "::".join(scope) or None, "docstring": ast.get_docstring(child), "cyclomatic": c[0], "cognitive": c[1]})
+                visit(child, [*scope, child.name], "class" if kind == "class" else "function")
+                continue
+            if isinstance(child, ast.Import):
+                rows.extend({"kind": "import", "path": path, "line": child.lineno, "imported": a.name, "alias": a.asname, "context": "import"} for a in child.names)
+            elif isinstance(child, ast.ImportFrom):
+                rows.extend({"kind": "import", "path": path, "line": child.lineno, "imported": "." * child.level + (child.module or ""), "name": a.name, "alias": a.asname, "context": "from_import"} for a in child.names)
+            elif isinstance(child, ast.Call):
+                f = child.func
+                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                if name and (refs := refs + 1) <= MOST_REFS:
+                    rows.append({"kind": "ref", "path": path, "line": child.lineno, "name": name, "context": "construction" if name[:1].isupper() else "call"})
+            elif isinstance(child, ast.Attribute) and isinstance(child.ctx, ast.Load) and (refs := refs + 1) <= MOST_REFS:
+                rows.append({"kind": "ref", "path": path, "line": child.lineno, "name": child.attr, "context": "field_access"})
+            elif isinstance(child, ast.Constant) and isinstance(child.value, str):
+                text = re.sub(r"\s+", " ", child.value).strip()
+                if len(text) >= 3:
+                    rows.append({"kind": "literal", "path": path, "line": child.lineno, "text": text[:LITERAL_KEY]})
+            elif inside != "function" and isinstance(child, ast.Assign):
+                rows.extend({"kind": "symbol", "path": path, "qualified": "::".join([*scope, x.id]), "short": x.id, "symbol_kind": "const" if x.id.isupper() else "static", "start_line": child.lineno, "end_line": child.end_lineno, "parent": "::".join(scope) or None} for x in child.targets if isinstance(x, ast.Name))
+            visit(child, scope, inside)
+
+    visit(tree, [], "module")
+    return rows
+
+
+def index(sources: DataFrame) -> DataFrame:
+    """Tagged rows of all Python files (path, content): one generator a file, so that memory follows the file."""
+    names = [x.split()[0] for x in SYMBOLS.split(", ")]
+    ints = [x.split()[0] for x in SYMBOLS.split(", ") if x.endswith(" int")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                rows = parse_python(path, content)
+                if rows:
+                    yield pd.DataFrame(rows).reindex(columns=names).astype({c: "Int32" for c in ints}).astype(object).where(lambda x: x.notna(), None)
+
+    return sources.select("path", "content").mapInPandas(run, SYMBOLS)
+
+
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """symbols, refs, imports and literals of index()'s rows."""
+    return {
+        "symbols": rows.where("kind = 'symbol'").select("path", "qualified", "short", "symbol_kind", "start_line", "end_line", "parent", "docstring", "cyclomatic", "cognitive"),
+        "refs": rows.where("kind = 'ref'").select("path", "line", "name", "context"),
+        "imports": rows.where("kind = 'import'").select("path", "line", "imported", "name", "alias", F.col("context").alias("import_kind")),
+        "literals": rows.where("kind = 'literal'").select("path", "line", "text"),
+    }
+
+
+def resolve_calls(t: dict[str, DataFrame]) -> DataFrame:
+    """(path, line, name, target_path, target, rung): calls by the nearest symbol of the file, else the one symbol of that name."""
+    refs, symbols = t["refs"].where("context IN ('call', 'construction')").distinct(), t["symbols"].where("symbol_kind IN ('function', 'method', 'class')")
+    here = refs.join(symbols.select("path", F.col("short").alias("name"), "qualified", "start_line"), ["path", "name"]).groupBy("path", "line", "name", "context").agg(F.min_by(F.struct(F.col("path").alias("p"), "qualified"), F.struct(F.abs(F.col("line") - F.col("start_line")), "start_line")).alias("t")).withColumn("rung", F.lit("same_file"))
+    single = symbols.groupBy(F.col("short").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(F.col("path").alias("p"), "qualified")).alias("t")).where("n = 1").drop("n")
+    there = refs.join(here.select("path", "line", "name", "context"), ["path", "line", "name", "context"], "left_anti").join(single, "name").select("path", "line", "name", "context", "t", F.lit("global").alias("rung"))
+    return here.unionByName(there).select("path", "line", "name", F.col("t.p").alias("target_path"), F.col("t.qualified").alias("target"), "rung")
