@@ -163,13 +163,17 @@ class Scanner:
             possible = np.minimum(counts, self.counts[t]).sum(axis=1) >= LEAST * len(template)
             for d in np.flatnonzero(possible).tolist():
                 mine = ids[w.of[d] : w.of[d + 1]]
-                end = -1
+                end = 0
                 for a, b in self.windows(mine, t):
-                    pairs = align(mine[a:b].tolist(), template)
-                    coverage = len(pairs) / len(template)
-                    if pairs and coverage >= LEAST and a + pairs[0][0] >= end:
+                    a = max(a, end)
+                    while a < b:  # a window may hold copies one after the other
+                        pairs = align(mine[a:b].tolist(), template)
+                        coverage = len(pairs) / len(template)
+                        if coverage < LEAST:
+                            break
                         start, end = a + pairs[0][0], a + pairs[-1][0] + 1
                         out.append((d, name, start, end - start, len(pairs), round(coverage, 6)))
+                        a = end
         best: dict[int, list] = {}
         for x in sorted(out, key=lambda x: (-x[5], -x[4], x)):
             mine = best.setdefault(x[0], [])

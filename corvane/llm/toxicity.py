@@ -12,7 +12,7 @@ in LEAST_DF toxic texts at least. Every text is scored whole, in one map.
 
 Words are runs of letters and digits (and of all bytes beyond ASCII), ASCII letters in lower case. Defined results: null and
 empty texts get the score of a text without a known word; null ids are held in and returned as null; a label without 0 or 1
-or without a doc_id is passed over, of repeated labels the largest holds; without toxic labels all scores are 0; repeated rows
+or without a doc_id is passed over, of repeated labels the largest holds; without toxic labels, or texts for them, all scores are 0; repeated rows
 get equal scores; an empty table gives an empty result; extra columns play no part.
 """
 
@@ -98,7 +98,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
     x = np.ones(len(w) + 1)
     for _ in range(8):  # the largest curvature, by power iteration
-        x /= np.linalg.norm(x)
+        x /= np.linalg.norm(x) or 1.0
         top = prior * p.gradient(p.times(x[:-1]) + x[-1]) / max(p.n, 1) + u.gradient(u.times(x[:-1]) + x[-1]) / max(u.n, 1)
         x, most = top, np.linalg.norm(top)
     rate, speed = 1 / (0.25 * most + DECAY), np.zeros(len(w) + 1)
@@ -149,15 +149,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     by = {k: [] for k in "pnu"}
     for r in sorted(rows, key=lambda r: (r.part, r.mod, bytes(r.words))):
         by[r.part].append((r.mod, np.frombuffer(bytes(r.words), np.uint64)))
+    if not by["p"]:
+        return None
     got, truth = [], []
-    for fold in FOLDS:
+    for fold in FOLDS if len({m for m, _ in by["p"]}) > 1 else FOLDS[:0]:
         model = fit([x for m, x in by["p"] if m != fold], [x for m, x in by["u"] if m != fold], prior)
         for part, y in (("p", 1), ("n", 0)):
             mine = [x for m, x in by[part] if m == fold]
             got.append(logits(mine, *model))
             truth.append(np.full(len(mine), y))
+    final = fit([x for _, x in by["p"]], [x for _, x in by["u"]], prior)
+    if not got:  # too few toxic texts to leave a fold out: the model's own rows set the cut
+        got, truth = [logits([x for _, x in by[part]], *final) for part in "pn"], [np.full(len(by[part]), y) for part, y in (("p", 1), ("n", 0))]
     g, truth = np.concatenate(got), np.concatenate(truth)
-    return *fit([x for _, x in by["p"]], [x for _, x in by["u"]], prior), best_cut(g, truth), max(float(np.std(g)), 1e-3)
+    return *final, best_cut(g, truth), max(float(np.std(g)), 1e-3)
 
 
 def _score(model):
