@@ -5,8 +5,8 @@ idf = 1 + GAIN * ln((1 + N) / (1 + df)) / ln(1 + N); df is counted over all docu
 bounds the broadcast. GAIN is low, since a group of near copies raises the df of just what its members share.
 
 1. One pass fills the df table; one pass draws BANDS * ROWS consistent samples a text and emits one key a band.
-2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band, and the pair is
-   verified by exact weighted Jaccard similarity of the whole texts. Nodes that miss their leader meet a second and a third,
+2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which LIKELY of
+   all samples agree are verified by exact weighted Jaccard similarity of the whole texts. Nodes that miss their leader meet a second and a third,
    and then part into finer buckets by the keys of further bands, until no bucket holds two: pairs stay linear in the nodes.
 3. Components of the verified links come from alternating large and small stars. The class id is the least doc_id.
 
@@ -22,11 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpointed, chunks, grams, mix, prefix, ranges, segments, small_batches, table, texts_of
+from .common import U64, Words, checkpointed, chunks, grams, mix, prefix, ranges, segments, shuffle_partitions, small_batches, table, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 GAIN = 0.25
+LIKELY = 0.6
+_BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+_SIGN_COLUMNS = [f"s{i}" for i in range(BANDS * ROWS // 8)]
 _BITS, _SLOTS = 46, 1 << 21
 _PARTS = 128
 _MASK = U64((1 << _BITS) - 1)
@@ -100,11 +103,11 @@ def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
     return (1 + GAIN * np.log((1 + n) / (1 + np.minimum(counts.ravel(), n))) / np.log(2 + n)).astype(np.float32)
 
 
-def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """BANDS keys for each text, from BANDS * ROWS consistent weighted samples; 0 for a text without shingles."""
-    out = np.zeros((texts, BANDS), U64)
+def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys for each text, from BANDS * ROWS consistent weighted samples (0 for a text without shingles), and a byte of each sample."""
+    out, signs = np.zeros((texts, BANDS), U64), np.zeros((texts, BANDS * ROWS), np.uint8)
     if not len(doc):
-        return out
+        return out, signs
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     size = np.diff(np.append(starts, len(doc)))
     owner = np.repeat(np.arange(len(starts)), size)
@@ -127,10 +130,11 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> n
         who = owner[best]
         best = best[np.append(True, who[1:] != who[:-1])]
         drawn = mix(x[best] ^ mix(t[best].astype(np.int64).view(U64) + U64(i)))
+        signs[doc[starts], i] = drawn >> U64(56)
         band = i // ROWS
         key[:, band] = mix(key[:, band] + drawn + U64(band + 1))
     out[doc[starts]] = key | U64(1)
-    return out
+    return out, signs
 
 
 def _sign(idf):
@@ -138,12 +142,14 @@ def _sign(idf):
         table_ = idf.value
         for batch in batches:
             texts = texts_of(batch.column(2))
-            keys = []
+            keys, signs = [np.zeros((0, BANDS), U64)], [np.zeros((0, BANDS * ROWS), np.uint8)]
             for a, b in chunks(texts, 2 << 20):
                 doc, h, tf = shingles(texts[a:b])
-                keys.append(samples(doc, h, (1 + np.log(tf)) * table_[_slot(h)], b - a))
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, BANDS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(key[:, i])) for i in range(BANDS))], ["id", "key", *(f"b{i}" for i in range(BANDS))])
+                key, sign = samples(doc, h, (1 + np.log(tf)) * table_[_slot(h)], b - a)
+                keys.append(key)
+                signs.append(sign)
+            longs = np.concatenate([np.concatenate(keys).view(np.int64), np.concatenate(signs).view(np.int64)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x)) for x in longs.T)], ["id", "key", *_BAND_COLUMNS, *_SIGN_COLUMNS])
 
     return run
 
@@ -162,6 +168,14 @@ def similarities(left: list[bytes], right: list[bytes], idf: np.ndarray) -> np.n
     return np.where(total > 0, shared / np.maximum(total - shared, 1e-12), 1.0)
 
 
+def _likely(batches):
+    """Pairs of which LIKELY of the samples agree: four deviations below SIMILARITY's mean, so that one in 50,000 is missed."""
+    for batch in batches:
+        left, right = (np.stack([batch.column(k).to_numpy() for k in range(at, at + len(_SIGN_COLUMNS))], axis=1).view(np.uint8) for at in (2, 2 + len(_SIGN_COLUMNS)))
+        agree = (left == right).mean(axis=1) >= LIKELY
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(agree)), batch.column(1).filter(pa.array(agree))], ["a", "b"])
+
+
 def _verify(idf):
     def run(batches):
         for batch in batches:
@@ -172,22 +186,29 @@ def _verify(idf):
     return run
 
 
+def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in as many partitions as so many rows need: small rounds leave few files."""
+    return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), rows // each + 1)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of links (a, b), the label being the least node of the component; by alternating large and small stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = checkpointed(edges), None
+    rows = edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = checkpointed(sized(sized(large, rows).distinct(), rows))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(least.select(F.col("u").alias("x"), "m"))
-        edges = checkpointed(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
+        edges = checkpointed(sized(sized(small.select(F.col("x").alias("u"), F.col("m").alias("v")), rows).distinct(), rows))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = now
+        before, rows = now, now[0]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -203,23 +224,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     docs = keyed(docs, id_col, text_col)
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    bands = [f"b{i}" for i in range(BANDS)]
-    drawn = docs.select(id_col, "__key", text_col).mapInArrow(_sign(idf), f"id {kind}, key binary, {', '.join(f'{b} long' for b in bands)}")
-    signed = checkpointed(drawn.where("b0 <> 0").groupBy("key").agg(*(F.first(b).alias(b) for b in bands)))
+    bands, columns = _BAND_COLUMNS, [*_BAND_COLUMNS, *_SIGN_COLUMNS]
+    drawn = docs.select(id_col, "__key", text_col).mapInArrow(_sign(idf), f"id {kind}, key binary, {', '.join(f'{b} long' for b in columns)}")
+    signed = checkpointed(drawn.where("b0 <> 0").groupBy("key").agg(*(F.first(b).alias(b) for b in columns)))
     rows = signed.select("key", F.posexplode(F.array(*bands)).alias("band", "part")).select("key", F.xxhash64("band", "part").alias("bucket"), "band")
-    texts, links, level = None, None, 0
+    texts, links, level, n = None, None, 0, None
     while True:
+        fit = (lambda df, n=n: df) if n is None else (lambda df, n=n: sized(df, n))
         heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "bucket").alias("o"), "key")).alias("head"))
-        heads = checkpointed(heads.where("n > 1").select("bucket", F.col("head.key").alias("head")))
-        met = rows.join(heads, "bucket").where("key <> head").select("bucket", "band", "key", "head")
-        met = checkpointed(met)
-        pairs = met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
-        if texts is None:  # the texts of all nodes that ever meet another
+        heads = checkpointed(fit(heads.where("n > 1").select("bucket", F.col("head.key").alias("head"))))
+        met = checkpointed(fit(rows.join(heads, "bucket").where("key <> head").select("bucket", "band", "key", "head")))
+        n = met.count()
+        if not n:
+            break
+        met = sized(met, n)
+        if texts is None:  # the marks and texts of all nodes that ever meet another
             nodes = met.select("key").union(met.select(F.col("head").alias("key"))).distinct()
-            texts = checkpointed(docs.select(F.col("__key").alias("key"), F.col(text_col).alias("text")).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+            nodes = checkpointed(sized(nodes, n))
+            marks = checkpointed(sized(signed.join(nodes, "key", "left_semi"), n))
+            texts = docs.select(F.col("__key").alias("key"), F.col(text_col).alias("text")).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+            texts = checkpointed(sized(texts, n, 2_000))
+        pairs = sized(met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), n)
+        signs = marks.select("key", *_SIGN_COLUMNS)
+        likely = sized(pairs.join(signs.toDF("a", *(f"l{c}" for c in _SIGN_COLUMNS)), "a"), n).join(signs.toDF("b", *(f"r{c}" for c in _SIGN_COLUMNS)), "b")
+        likely = likely.select("a", "b", *(f"l{c}" for c in _SIGN_COLUMNS), *(f"r{c}" for c in _SIGN_COLUMNS)).mapInArrow(_likely, "a binary, b binary")
         left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-        tested = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf), "a binary, b binary, similarity double")
-        found = checkpointed(tested.where(F.col("similarity") >= similarity).select("a", "b"))
+        tested = sized(sized(likely, n).join(left, "a"), n, 2_000).join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf), "a binary, b binary, similarity double")
+        found = checkpointed(sized(tested.where(F.col("similarity") >= similarity).select("a", "b"), n, 2_000))
         links = found if links is None else links.union(found)
         rest = met.withColumn("a", F.least("key", "head")).withColumn("b", F.greatest("key", "head")).join(found, ["a", "b"], "left_anti")
         level += 1
@@ -227,10 +258,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             rows = rest.select("key", F.xxhash64("bucket", F.lit(level)).alias("bucket"), "band")
         else:
             other = F.element_at(F.array(*bands), ((F.col("band") + F.lit(level - 2)) % BANDS + 1).cast("int"))
-            rows = rest.select("key", "bucket", "band").join(signed, "key").select("key", F.xxhash64("bucket", other).alias("bucket"), "band")
-        rows = checkpointed(rows)
-        if rows.isEmpty():
-            break
+            rows = sized(rest.select("key", "bucket", "band"), n).join(marks, "key").select("key", F.xxhash64("bucket", other).alias("bucket"), "band")
+        rows = checkpointed(sized(rows, n))
+    if links is None:
+        links = spark.createDataFrame([], "a binary, b binary")
     label = components(links)
     keys = docs.select("__key").distinct().join(label.toDF("__key", "label"), "__key", "left")
     return keys.select("__key", F.coalesce("label", "__key").alias("label")), docs
