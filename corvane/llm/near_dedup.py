@@ -6,8 +6,10 @@ bounds the broadcast. GAIN is low, since a group of near copies raises the df of
 
 1. One pass fills the df table; one pass draws BANDS * ROWS consistent samples a text and emits one key a band.
 2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which LIKELY of
-   all samples agree are verified by exact weighted Jaccard similarity of the whole texts. Nodes that miss their leader meet a second and a third,
-   and then part into finer buckets by the keys of further bands, until no bucket holds two: pairs stay linear in the nodes.
+   all samples agree are verified by exact weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all;
+   nodes linked to it stay, since the hub of a group may be among them. A bucket whose nodes are all linked to one leader is done.
+   The second and third leaders are the nodes with most links, which finds hubs; then what is left parts into finer buckets by the
+   keys of further bands, until no bucket holds two: pairs stay linear in the nodes.
 3. Components of the verified links come from alternating large and small stars. The class id is the least doc_id.
 
 Defined results: equal texts share a class, empty texts too; a null text is a class of its own per id; a null id counts as
@@ -228,10 +230,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     drawn = docs.select(id_col, "__key", text_col).mapInArrow(_sign(idf), f"id {kind}, key binary, {', '.join(f'{b} long' for b in columns)}")
     signed = checkpointed(drawn.where("b0 <> 0").groupBy("key").agg(*(F.first(b).alias(b) for b in columns)))
     rows = signed.select("key", F.posexplode(F.array(*bands)).alias("band", "part")).select("key", F.xxhash64("band", "part").alias("bucket"), "band")
-    texts, links, level, n = None, None, 0, None
+    texts, links, degree, level, n = None, None, None, 0, None
     while True:
         fit = (lambda df, n=n: df) if n is None else (lambda df, n=n: sized(df, n))
-        heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "bucket").alias("o"), "key")).alias("head"))
+        ranked = rows.withColumn("degree", F.lit(0)) if degree is None else rows.join(degree, "key", "left")
+        first = F.min(F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("key", "bucket").alias("o"), "key")).alias("head")
+        heads = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first)
         heads = checkpointed(fit(heads.where("n > 1").select("bucket", F.col("head.key").alias("head"))))
         met = checkpointed(fit(rows.join(heads, "bucket").where("key <> head").select("bucket", "band", "key", "head")))
         n = met.count()
@@ -252,7 +256,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         tested = sized(sized(likely, n).join(left, "a"), n, 2_000).join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf), "a binary, b binary, similarity double")
         found = checkpointed(sized(tested.where(F.col("similarity") >= similarity).select("a", "b"), n, 2_000))
         links = found if links is None else links.union(found)
-        rest = met.withColumn("a", F.least("key", "head")).withColumn("b", F.greatest("key", "head")).join(found, ["a", "b"], "left_anti")
+        degree = checkpointed(sized(links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("degree")), n))
+        apart = met.withColumn("a", F.least("key", "head")).withColumn("b", F.greatest("key", "head")).join(found, ["a", "b"], "left_anti")
+        rest = met.join(apart.select("bucket").distinct(), "bucket", "left_semi")  # elsewhere all are linked to the leader
         level += 1
         if level < 3:
             rows = rest.select("key", F.xxhash64("bucket", F.lit(level)).alias("bucket"), "band")

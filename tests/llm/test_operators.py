@@ -132,6 +132,22 @@ def test_near_duplicates(spark, odd, none):
     assert N.near_duplicates(none).count() == 0 and N.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("spokes", [50, 400])
+def test_hub_and_spoke_groups_are_whole(spark, spokes):
+    base = split(prose(400, 30))
+    copies = []
+    for k in range(spokes):
+        w = list(base)
+        for j, i in enumerate(sorted(random.Random(k).sample(range(5, 390, 11), 6))):
+            w[i] = f"edit{k}x{j}"
+        copies.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t, "en", 0) for k, t in enumerate([*copies, " ".join(base)])], SCHEMA)
+    idf, hub = N.idf_table(docs, "text"), " ".join(base).encode()
+    texts = [t.encode() for t in copies]
+    assert N.similarities([hub] * spokes, texts, idf).min() >= 0.8 > np.median(N.similarities(texts[1:], texts[:-1], idf))
+    assert {r.class_id for r in N.near_duplicates(docs).collect()} == {0}
+
+
 def test_samples_agree_as_often_as_the_weights():
     a, b = prose(400, 30).split(), prose(400, 31).split()
     x, y = " ".join(a).encode(), " ".join(a[:300] + b[:100]).encode()
