@@ -8,9 +8,10 @@ bounds the broadcast. GAIN is low, since a group of near copies raises the df of
 2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which LIKELY of
    all samples agree are verified by exact weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all;
    nodes linked to it stay, since the hub of a group may be among them. A bucket whose nodes are all linked to one leader is done.
-   The second and third leaders are the nodes with most links, which finds hubs; then what is left parts into finer buckets by the
-   keys of further bands, until no bucket holds two: pairs stay linear in the nodes.
-3. Components of the verified links come from alternating large and small stars. The class id is the least doc_id.
+   The second and third leaders are the nodes with most links, which finds hubs.
+3. What is left in a bucket, unless it is one component already, is met in full: salted blocks compare the samples of all pairs of
+   different components, then blocks with texts verify the likely ones. A bucket of n unlinked nodes costs n**2 / 2 comparisons.
+4. Components of the verified links come from alternating large and small stars. The class id is the least doc_id.
 
 Defined results: equal texts share a class, empty texts too; a null text is a class of its own per id; a null id counts as
 larger than all others; repeated rows share a class and one of them is kept; an empty table gives an empty result.
@@ -30,6 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 GAIN = 0.25
 LIKELY = 0.6
+LEADERS, SIGN_BLOCK, TEXT_BLOCK = 3, 2_048, 256
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 _SIGN_COLUMNS = [f"s{i}" for i in range(BANDS * ROWS // 8)]
 _BITS, _SLOTS = 46, 1 << 21
@@ -188,6 +190,94 @@ def _verify(idf):
     return run
 
 
+def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a block, of different components, of which LIKELY of the samples agree; each in the first band it shares."""
+    matrix = lambda names: np.stack([t[c].to_numpy() for c in names], axis=1)
+    signs, bands = np.ascontiguousarray(matrix(_SIGN_COLUMNS)).view(np.uint8), matrix(_BAND_COLUMNS)
+    label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    salt, band = t["salt"].to_numpy(), t["band"][0].as_py()
+    left, right = np.flatnonzero(salt == t["i"][0].as_py()), np.flatnonzero(salt == t["j"][0].as_py())
+    same = t["i"][0].as_py() == t["j"][0].as_py()
+    got = [(left[:0], right[:0])]
+    for at in range(0, len(left), 256):
+        l = left[at : at + 256]
+        agree = np.zeros((len(l), len(right)), np.uint8)
+        for k in range(BANDS * ROWS):
+            agree += signs[l, k][:, None] == signs[right, k]
+        x, y = np.nonzero((agree >= LIKELY * BANDS * ROWS) & (label[l][:, None] != label[right]))
+        x, y = l[x], right[y]
+        if same:
+            x, y = x[x < y], y[x < y]
+        for c in range(0, len(x), 1 << 16):
+            u, v = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
+            mine = (bands[u] == bands[v]).argmax(axis=1) == band
+            got.append((u[mine], v[mine]))
+    return np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
+
+
+def _partners(t: pa.Table) -> pa.Table:
+    """The nodes of a block that have a likely pair there."""
+    return t.take(np.unique(np.concatenate(_candidates(t)))).select(["bucket", "key"])
+
+
+def _verify_block(idf, similarity: float):
+    def run(t: pa.Table) -> pa.Table:
+        x, y = _candidates(t)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        doc, h, tf = shingles(texts_of(t["text"]))
+        weight = (1 + np.log(tf)) * idf.value[_slot(h)]
+        ids = np.unique(h, return_inverse=True)[1]
+        of = np.searchsorted(doc, np.arange(len(t) + 1))
+        total = np.bincount(doc, weight, len(t))
+        dense = np.zeros(len(h))
+        part = t["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()  # components, as the block's links join them
+        a, b = [], []
+        for u, end in zip(*np.unique(x, return_counts=True), strict=True):
+            first = np.searchsorted(x, u)
+            mine = y[first : first + end]
+            mine = mine[part[mine] != part[u]]
+            own = slice(of[u], of[u + 1])
+            dense[ids[own]] = weight[own]
+            for v in mine.tolist():
+                if part[v] == part[u]:
+                    continue
+                other = slice(of[v], of[v + 1])
+                shared = np.minimum(weight[other], dense[ids[other]]).sum()
+                if shared >= similarity * (total[u] + total[v] - shared):
+                    a.append(u)
+                    b.append(v)
+                    part[part == part[v]] = part[u]
+            dense[ids[own]] = 0
+        keys = t["key"].combine_chunks()
+        return pa.table({"a": keys.take(pa.array(a, pa.int64())), "b": keys.take(pa.array(b, pa.int64()))})
+
+    return run
+
+
+def _blocks(rows: DataFrame, each: int) -> DataFrame:
+    """rows of buckets with more than one component, once in every block (bucket, i, j) of pairs of salts they belong to."""
+    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    salts = F.ceil(F.col("n") / each).cast("int")
+    salted = rows.join(size.select("bucket", salts.alias("salts")), "bucket").withColumn("salt", F.pmod(F.xxhash64("key", "bucket", F.lit(1)), F.col("salts")).cast("int"))
+    paired = salted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return paired.withColumn("i", F.least("salt", "with")).withColumn("j", F.greatest("salt", "with")).drop("salts", "with")
+
+
+def met_in_full(rows: DataFrame, marks: DataFrame, texts: DataFrame, links: DataFrame | None, idf, similarity: float, n: int) -> DataFrame:
+    """The links (a, b) among the nodes left in the buckets of rows (key, bucket, band), n of them, that join components of links."""
+    rows = sized(rows.join(marks, "key"), n)
+    if links is not None:
+        rows = sized(rows.join(components(links).toDF("key", "label"), "key", "left"), n)
+    else:
+        rows = rows.withColumn("label", F.lit(None).cast("binary"))
+    rows = checkpointed(rows.withColumn("label", F.coalesce("label", "key")))
+    some = _blocks(rows, SIGN_BLOCK).groupBy("bucket", "i", "j").applyInArrow(_partners, "bucket long, key binary").distinct()
+    some = checkpointed(some)
+    of_texts = _blocks(rows.join(some, ["bucket", "key"], "left_semi"), TEXT_BLOCK).join(texts, "key")
+    return checkpointed(of_texts.groupBy("bucket", "i", "j").applyInArrow(_verify_block(idf, similarity), "a binary, b binary").distinct())
+
+
 def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """df in as many partitions as so many rows need: small rounds leave few files."""
     return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), rows // each + 1)))
@@ -260,12 +350,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         apart = met.withColumn("a", F.least("key", "head")).withColumn("b", F.greatest("key", "head")).join(found, ["a", "b"], "left_anti")
         rest = met.join(apart.select("bucket").distinct(), "bucket", "left_semi")  # elsewhere all are linked to the leader
         level += 1
-        if level < 3:
-            rows = rest.select("key", F.xxhash64("bucket", F.lit(level)).alias("bucket"), "band")
-        else:
-            other = F.element_at(F.array(*bands), ((F.col("band") + F.lit(level - 2)) % BANDS + 1).cast("int"))
-            rows = sized(rest.select("key", "bucket", "band"), n).join(marks, "key").select("key", F.xxhash64("bucket", other).alias("bucket"), "band")
-        rows = checkpointed(sized(rows, n))
+        rows = checkpointed(sized(rest.select("key", "bucket", "band"), n))
+        if level == LEADERS:
+            n = rows.count()
+            if n:
+                links = links.union(met_in_full(rows, marks, texts, links, idf, similarity, n))
+            break
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary")
     label = components(links)

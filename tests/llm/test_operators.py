@@ -148,6 +148,32 @@ def test_hub_and_spoke_groups_are_whole(spark, spokes):
     assert {r.class_id for r in N.near_duplicates(docs).collect()} == {0}
 
 
+def test_pairs_planted_in_a_large_template_group_are_found(spark):
+    base, rows = split(prose(400, 31)), []
+    for k in range(300):
+        w = list(base)
+        for j, i in enumerate(range(3, 390, 70)):  # the same places in all: each pair shares what none of them edits
+            w[i] = f"own{k}x{j}"
+        for j, i in enumerate(random.Random(k).sample(range(8, 390, 11), 2)):
+            w[i] = f"edit{k}x{j}"
+        rows.append(" ".join(w))
+    planted = {}
+    for k in range(0, 300, 3):
+        w = split(rows[k])
+        for j, i in enumerate(random.Random(1000 + k).sample(range(8, 390, 11), 4)):
+            w[i] = f"copy{k}x{j}"
+        planted[1000 + k] = " ".join(w)
+    texts = {**dict(enumerate(rows)), **planted}
+    docs = spark.createDataFrame([(k, t, "en", 0) for k, t in texts.items()], SCHEMA)
+    idf, of = N.idf_table(docs, "text"), {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    among = N.similarities([rows[0].encode()] * 299, [t.encode() for t in rows[1:]], idf)
+    assert 0.65 < np.median(among) < 0.8
+    near = N.similarities([rows[k - 1000].encode() for k in planted], [t.encode() for t in planted.values()], idf)
+    assert (near >= 0.8).sum() > 50
+    for (k, _), x in zip(planted.items(), near, strict=True):
+        assert x < 0.8 or of[k] == of[k - 1000]
+
+
 def test_samples_agree_as_often_as_the_weights():
     a, b = prose(400, 30).split(), prose(400, 31).split()
     x, y = " ".join(a).encode(), " ".join(a[:300] + b[:100]).encode()
