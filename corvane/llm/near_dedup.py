@@ -5,8 +5,8 @@ idf = 1 + GAIN * ln((1 + N) / (1 + df)) / ln(1 + N); df is counted over all docu
 bounds the broadcast. GAIN is low, since a group of near copies raises the df of just what its members share.
 
 1. One pass fills the df table; one pass draws BANDS * ROWS consistent samples a text and emits one key a band.
-2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which LIKELY of
-   all samples agree are verified by exact weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all;
+2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which at least
+   least_agreeing of all samples agree (one at the threshold is missed with probability MISSED at most) are verified by exact weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all;
    nodes linked to it stay, since the hub of a group may be among them. A bucket whose nodes are all linked to one leader is done.
    The second and third leaders are the nodes with most links, which finds hubs.
 3. What is left in a bucket, unless it is one component already, is met in full: salted blocks compare the samples of all pairs of
@@ -19,6 +19,8 @@ larger than all others; repeated rows share a class and one of them is kept; an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,7 +32,7 @@ from .common import U64, Words, checkpointed, chunks, grams, mix, prefix, ranges
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 GAIN = 0.25
-LIKELY = 0.6
+MISSED = 1e-6
 LEADERS, SIGN_BLOCK, TEXT_BLOCK = 3, 2_048, 256
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 _SIGN_COLUMNS = [f"s{i}" for i in range(BANDS * ROWS // 8)]
@@ -172,12 +174,26 @@ def similarities(left: list[bytes], right: list[bytes], idf: np.ndarray) -> np.n
     return np.where(total > 0, shared / np.maximum(total - shared, 1e-12), 1.0)
 
 
-def _likely(batches):
-    """Pairs of which LIKELY of the samples agree: four deviations below SIMILARITY's mean, so that one in 50,000 is missed."""
-    for batch in batches:
-        left, right = (np.stack([batch.column(k).to_numpy() for k in range(at, at + len(_SIGN_COLUMNS))], axis=1).view(np.uint8) for at in (2, 2 + len(_SIGN_COLUMNS)))
-        agree = (left == right).mean(axis=1) >= LIKELY
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(agree)), batch.column(1).filter(pa.array(agree))], ["a", "b"])
+def least_agreeing(similarity: float) -> int:
+    """The most samples that may be asked to agree: fewer do so with probability MISSED at most, at this similarity."""
+    n, below = BANDS * ROWS, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _likely(least: int):
+    """Pairs of which at least so many samples agree."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = (np.stack([batch.column(k).to_numpy() for k in range(at, at + len(_SIGN_COLUMNS))], axis=1).view(np.uint8) for at in (2, 2 + len(_SIGN_COLUMNS)))
+            agree = pa.array((left == right).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(agree), batch.column(1).filter(agree)], ["a", "b"])
+
+    return run
 
 
 def _verify(idf):
@@ -190,8 +206,8 @@ def _verify(idf):
     return run
 
 
-def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a block, of different components, of which LIKELY of the samples agree; each in the first band it shares."""
+def _candidates(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a block, of different components, of which at least so many samples agree; each in the first band it shares."""
     matrix = lambda names: np.stack([t[c].to_numpy() for c in names], axis=1)
     signs, bands = np.ascontiguousarray(matrix(_SIGN_COLUMNS)).view(np.uint8), matrix(_BAND_COLUMNS)
     label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -204,7 +220,7 @@ def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         agree = np.zeros((len(l), len(right)), np.uint8)
         for k in range(BANDS * ROWS):
             agree += signs[l, k][:, None] == signs[right, k]
-        x, y = np.nonzero((agree >= LIKELY * BANDS * ROWS) & (label[l][:, None] != label[right]))
+        x, y = np.nonzero((agree >= least) & (label[l][:, None] != label[right]))
         x, y = l[x], right[y]
         if same:
             x, y = x[x < y], y[x < y]
@@ -215,14 +231,14 @@ def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
 
 
-def _partners(t: pa.Table) -> pa.Table:
+def _partners(least: int):
     """The nodes of a block that have a likely pair there."""
-    return t.take(np.unique(np.concatenate(_candidates(t)))).select(["bucket", "key"])
+    return lambda t: t.take(np.unique(np.concatenate(_candidates(t, least)))).select(["bucket", "key"])
 
 
 def _verify_block(idf, similarity: float):
     def run(t: pa.Table) -> pa.Table:
-        x, y = _candidates(t)
+        x, y = _candidates(t, least_agreeing(similarity))
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         doc, h, tf = shingles(texts_of(t["text"]))
@@ -272,7 +288,7 @@ def met_in_full(rows: DataFrame, marks: DataFrame, texts: DataFrame, links: Data
     else:
         rows = rows.withColumn("label", F.lit(None).cast("binary"))
     rows = checkpointed(rows.withColumn("label", F.coalesce("label", "key")))
-    some = _blocks(rows, SIGN_BLOCK).groupBy("bucket", "i", "j").applyInArrow(_partners, "bucket long, key binary").distinct()
+    some = _blocks(rows, SIGN_BLOCK).groupBy("bucket", "i", "j").applyInArrow(_partners(least_agreeing(similarity)), "bucket long, key binary").distinct()
     some = checkpointed(some)
     of_texts = _blocks(rows.join(some, ["bucket", "key"], "left_semi"), TEXT_BLOCK).join(texts, "key")
     return checkpointed(of_texts.groupBy("bucket", "i", "j").applyInArrow(_verify_block(idf, similarity), "a binary, b binary").distinct())
@@ -341,7 +357,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         pairs = sized(met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), n)
         signs = marks.select("key", *_SIGN_COLUMNS)
         likely = sized(pairs.join(signs.toDF("a", *(f"l{c}" for c in _SIGN_COLUMNS)), "a"), n).join(signs.toDF("b", *(f"r{c}" for c in _SIGN_COLUMNS)), "b")
-        likely = likely.select("a", "b", *(f"l{c}" for c in _SIGN_COLUMNS), *(f"r{c}" for c in _SIGN_COLUMNS)).mapInArrow(_likely, "a binary, b binary")
+        likely = likely.select("a", "b", *(f"l{c}" for c in _SIGN_COLUMNS), *(f"r{c}" for c in _SIGN_COLUMNS)).mapInArrow(_likely(least_agreeing(similarity)), "a binary, b binary")
         left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
         tested = sized(sized(likely, n).join(left, "a"), n, 2_000).join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf), "a binary, b binary, similarity double")
         found = checkpointed(sized(tested.where(F.col("similarity") >= similarity).select("a", "b"), n, 2_000))

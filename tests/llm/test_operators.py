@@ -174,6 +174,18 @@ def test_pairs_planted_in_a_large_template_group_are_found(spark):
         assert x < 0.8 or of[k] == of[k - 1000]
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.6, 0.8, 0.95, 1.0])
+def test_few_pairs_at_the_threshold_are_left_unverified(similarity):
+    least = N.least_agreeing(similarity)
+    tail = lambda k: sum(N.math.comb(64, i) * similarity**i * (1 - similarity) ** (64 - i) for i in range(k))
+    assert tail(least) <= N.MISSED and (least == 64 or tail(least + 1) > N.MISSED)
+    marks = np.zeros((2, 64), np.uint8)
+    marks[1, least:] = 1  # just as many agree
+    longs = marks.view(np.int64)
+    batch = N.pa.RecordBatch.from_arrays([N.pa.array([b"a"]), N.pa.array([b"b"]), *(N.pa.array(x[i : i + 1]) for x in longs for i in range(8))], [f"c{i}" for i in range(18)])
+    assert [b.num_rows for b in N._likely(least)([batch])] == [1]
+
+
 def test_samples_agree_as_often_as_the_weights():
     a, b = prose(400, 30).split(), prose(400, 31).split()
     x, y = " ".join(a).encode(), " ".join(a[:300] + b[:100]).encode()
