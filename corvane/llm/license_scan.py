@@ -149,7 +149,7 @@ class Scanner:
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, str, int, int, int, float]]:
         """(text, license, first word, words, aligned words, coverage), each stretch of a text once a template; one that
-        overlaps a stretch of larger coverage gives way."""
+        overlaps a stretch of larger coverage gives way if that contains it or has more aligned words."""
         w = Words(texts, _NOT_WORD)
         h, doc = w.hashes(_FOLD), w.docs()
         i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -177,7 +177,8 @@ class Scanner:
         best: dict[int, list] = {}
         for x in sorted(out, key=lambda x: (-x[5], -x[4], x)):
             mine = best.setdefault(x[0], [])
-            if not any(x[2] < y[2] + y[3] and y[2] < x[2] + x[3] and y[5] > x[5] for y in mine):
+            over = (y for y in mine if x[2] < y[2] + y[3] and y[2] < x[2] + x[3] and y[5] > x[5])
+            if not any(y[4] > x[4] or (y[2] <= x[2] and x[2] + x[3] <= y[2] + y[3]) for y in over):
                 mine.append(x)
         return sorted(x for mine in best.values() for x in mine)
 

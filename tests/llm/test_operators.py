@@ -247,6 +247,13 @@ def test_license_scan(spark, odd, none):
     assert L.licenses(none).count() == 0 and L.licenses(odd).count() == 0
 
 
+def test_a_long_notice_does_not_give_way_to_a_line_of_it():
+    name = next(k for k, t in L.TEMPLATES.items() if "Licensed under the Apache License, Version 2.0" in t and "http:" in t)
+    changed = L.TEMPLATES[name].replace("http:", "https:")
+    got = {x[1]: x for x in L.Scanner().scan([changed.encode()])}
+    assert name in got and 0.9 < got[name][5] < 1
+
+
 def test_alignment_is_common_and_increasing():
     r = random.Random(3)
     for _ in range(200):
