@@ -1,24 +1,27 @@
 """What the training-data operators share: numpy tokenising and hashing of text batches, and session helpers.
 
-Words are the runs of bytes other than space and \\x09-\\x0D. All hashes are polynomial hashes modulo 2**64 with an
-odd base over mixed 64-bit symbols, so that the hash of any range follows from two prefix sums.
+Words are the runs of bytes other than space and \\x09-\\x0D. A word of up to PLACES bytes is hashed by tabulation, a random
+64-bit number for each byte at each place, a longer one by xxh3. Short runs of words are hashed by polynomials modulo 2**64
+over the words' hashes, so that any range follows from two prefix sums; these stay sound for runs of tens of words, and
+longer ranges are hashed as sums over (window, place), see ``range_marks``.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+PLACES = 64
+_TABLE = np.random.default_rng(20240607).integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+BATCH_BYTES = 16 << 20
 _pows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -30,20 +33,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: the operators' memory in Python follows the batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most: the operators' memory in Python follows the batch. All operators ask for the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
+    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (got.get() if got.isDefined() else None)
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the cluster's shared checkpoint folder; a local folder is set only where none is named."""
+    """df, materialised in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corvane-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that none of those taken equals, capitals aside, as Spark compares them."""
+    held = {c.lower() for c in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
+def without(df: DataFrame, added) -> DataFrame:
+    """df less the columns named like an added one, capitals aside."""
+    held = {c.lower() for c in added}
+    return df.drop(*[c for c in df.columns if c.lower() in held])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: a bijection of 64-bit values."""
     x = x ^ (x >> U64(30))
@@ -90,6 +115,17 @@ def grams(symbols: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
     return mix((sums[n:] - sums[:k]) * powers(len(sums), base)[1][:k])
 
 
+def range_marks(windows: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of windows [first, first + size), given the windows' hashes: sums over (window, place), no polynomial."""
+    total = int(size.sum())
+    place = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+    got = mix(windows[np.repeat(first, size) + place] ^ mix(place.astype(U64) + U64(1)))
+    sums = np.zeros(total + 1, U64)
+    np.cumsum(got, out=sums[1:])
+    end = np.cumsum(size)
+    return mix(sums[end] - sums[end - size])
+
+
 class Words:
     """The words of some texts: one buffer in which single spaces part words, word spans and, by text, word ranges."""
 
@@ -112,15 +148,22 @@ class Words:
         self.n = len(gap)
 
     def hashes(self, byte_map: np.ndarray | None = None) -> np.ndarray:
-        """A mixed 64-bit hash of each word; byte_map folds bytes first."""
-        table_ = _BYTE if byte_map is None else _BYTE[byte_map]
+        """A 64-bit hash of each word; byte_map folds bytes first."""
         out = np.empty(self.n, U64)
         step = 1 << 18  # words at a time: the temporary arrays stay small
         for i in range(0, self.n, step):
             a, b = self.starts[i : i + step], self.ends[i : i + step]
-            lo = a[0]
-            sums = prefix(table_[self.buf[lo : b[-1]]])
-            out[i : i + step] = mix(ranges(sums, a - lo, b - lo))
+            lo, size = a[0], b - a
+            part = self.buf[lo : b[-1] + 1]  # each word with the space after it
+            part = part if byte_map is None else byte_map[part]
+            place = np.arange(len(part)) - np.repeat(a - lo, size + 1)
+            got = _TABLE[np.minimum(place, PLACES - 1), part]
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(got, out=sums[1:])
+            h = mix((sums[b - lo] - sums[a - lo]) ^ size.astype(U64))
+            for k in np.flatnonzero(size > PLACES).tolist():
+                h[k] = xxhash.xxh3_64_intdigest(part[a[k] - lo : b[k] - lo].astype(np.uint8).tobytes(), seed=int(size[k]))
+            out[i : i + step] = h
         return out
 
     def docs(self) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, grams, small_batches, table, texts_of
+from .common import U64, Words, bounded_batches, chunks, grams, table, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS = 16
@@ -162,7 +162,7 @@ def find(texts: list[bytes], items: Items, least: float) -> list[tuple[int, int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start, n_words (of the most similar window), hamming, similarity: one row per document and item."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA.format(item=benchmark.schema[item_col].dataType.simpleString())}"
     held = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
     size = held.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -190,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, judged row by row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     for block in range(blocks):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import bounded_batches, checkpointed, table
 
 SUPPORT, LEAST_PAGES = 0.6, 4
 _TAG = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>")
@@ -220,7 +220,7 @@ def _extract_all(batches) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     known = checkpointed(templates(rows.select("host", "html")))

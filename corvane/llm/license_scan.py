@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Words, chunks, small_batches, table, texts_of
+from .common import Words, bounded_batches, chunks, table, texts_of
 from .toxicity import _FOLD, _NOT_WORD
 
 LEAST = 0.8
@@ -185,7 +185,7 @@ class Scanner:
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, start, n_words (of the stretch, in words of the text), aligned, coverage."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpointed, chunks, grams, mix, prefix, ranges, segments, shuffle_partitions, small_batches, table, texts_of
+from .common import U64, Words, bounded_batches, checkpointed, chunks, grams, mix, prefix, ranges, segments, shuffle_partitions, table, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -328,7 +328,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(__key, label) of all keys, and docs with __key."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     docs = keyed(docs, id_col, text_col)
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()

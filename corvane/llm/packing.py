@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, longs_of, shuffle_partitions, small_batches, table, texts_of
+from .common import Words, bounded_batches, checkpointed, chunks, longs_of, shuffle_partitions, table, texts_of
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -40,7 +40,7 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
 class Tokens:
-    """Ids of white-space-parted chunks, each distinct one tokenised once; a bounded cache by 64-bit hash."""
+    """Ids of white-space-parted chunks, each distinct one tokenised once; a bounded cache by a 64-bit hash that no text can aim at."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset. tokenizer: a file's path; by
     default that of the public vocabulary, looked up where it is installed."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     if tokenizer is None:
         import public_tokenizers
 

@@ -6,8 +6,8 @@ passes the base rules, no coverage exceeds its share of the text's characters, a
 
 One map over Arrow batches, without a shuffle; memory follows the batch. Defined results: a null or empty text has no
 words and fails the base rule on length; null ids are returned as null; repeated rows are judged each for itself, so that
-equal texts get equal verdicts; an empty table gives an empty result; extra columns are passed on, but for those named
-like an added column, which are dropped.
+equal texts get equal verdicts; texts of any length are read whole; an empty table gives an empty result; extra columns are
+passed on, but for those named like an added column (capitals aside), which are dropped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, Words, chunks, grams, mix, segments, small_batches, table, texts_of
+from .common import U64, Words, bounded_batches, chunks, grams, mix, segments, table, texts_of, without
 
 #: Word n-grams: the most that characters inside duplicated ones may be of all, in per cent.
 GRAMS = {3: 45, 5: 35, 10: 30}
@@ -97,8 +97,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of docs and those of SCHEMA."""
-    small_batches(docs.sparkSession)
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED])
+    bounded_batches(docs.sparkSession)
+    docs = without(docs, ADDED)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):

@@ -7,7 +7,7 @@ the rows with built-in functions; nothing is gathered. Slots number a shard's ro
 
 Law: ``key``. Defined results: a null key hashes as the text "null"; null text has size OVERHEAD and the CRC of nothing;
 repeated rows go to one shard, each with a slot of its own; an empty table gives an empty result; extra columns are
-passed on, but for those named like an added column, which are dropped.
+passed on, but for those named like an added column (capitals aside), which are dropped; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import free_name, shuffle_partitions, table, without
 
 SHARDS, OVERHEAD = 40, 16
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -29,19 +29,25 @@ def _cost(key, i: int, weight: float):
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, weights: list[float] | None = None, grown_weight: float = 1.0) -> DataFrame:
     """The columns of docs and those of ADDED; grown_shard is the shard with one more of weight grown_weight."""
     weights = weights or [1.0] * shards
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED])
+    docs = without(docs, ADDED)
     columns = docs.columns
+    hashed, salt, best_, k = (free_name(c, [*columns, *ADDED]) for c in ("__hash", "__salt", "__best", "__k"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    sized = docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text)).withColumn("__hash", F.md5(key))
-    best = sized.withColumn("__best", F.array_min(F.array(*(_cost(key, i, w) for i, w in enumerate(weights)))))
-    put = best.withColumn("shard", F.col("__best.shard")).withColumn("grown_shard", F.least("__best", _cost(key, len(weights), grown_weight))["shard"]).drop("__best")
+    sized = docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text)).withColumn(hashed, F.md5(key))
+    best = sized.withColumn(best_, F.array_min(F.array(*(_cost(key, i, w) for i, w in enumerate(weights)))))
+    grown = F.least(best_, _cost(key, len(weights), grown_weight))["shard"]
+    put = best.withColumn("shard", F.col(best_)["shard"]).withColumn("grown_shard", grown).drop(best_)
     digits = max(2, len(f"{shuffle_partitions(docs.sparkSession):x}"))  # of the key's hash: 256 salts a shard at least
-    salted = put.withColumn("__salt", F.substring("__hash", 1, digits))
-    before = salted.groupBy("shard", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy("shard").orderBy("__salt")) - F.col("__n")).drop("__n")
-    numbered = salted.withColumn("__k", F.row_number().over(Window.partitionBy("shard", "__salt").orderBy("__hash", "text_crc32", "size")) - 1)
-    return numbered.join(before, ["shard", "__salt"]).select(*columns, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__before") + F.col("__k")).cast("long").alias("slot"), "grown_shard")
+    salted = put.withColumn(salt, F.substring(hashed, 1, digits))
+    before = salted.groupBy(F.col("shard").alias("s"), F.col(salt).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("s", "x", (F.sum("n").over(Window.partitionBy("s").orderBy("x")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("shard", salt).orderBy(hashed, "text_crc32", "size")
+    numbered = salted.withColumn(k, F.row_number().over(order) - 1).alias("l")
+    both = numbered.join(before.alias("r"), (F.col("l.shard") == F.col("r.s")) & (F.col(f"l.{salt}") == F.col("r.x")))
+    slot = (F.col("r.before") + F.col(f"l.{k}")).cast("long").alias("slot")
+    named = [F.col(f"l.`{c}`") for c in columns]
+    return both.select(*named, "l.size", "l.text_crc32", F.lit("key").alias("law"), "l.shard", slot, "l.grown_shard")
 
 
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,13 @@ counted, and equal hashes are compared as text. Four steps:
 3. Each bucket finds, for each window, the least doc_id of all groups, and answers the groups whose largest doc_id is larger.
 4. Each group reads its texts again and removes what is covered by windows with a smaller doc_id elsewhere.
 
-Defined results: null text has no words; a null id counts as larger than all ids and is returned as null; repeated rows
-(equal id) are never removed in favour of each other; texts under ``window`` words stay whole; an empty table gives an
-empty result; extra columns are passed on, but for those named like an added column, which are dropped.
+Words and runs are told apart by 64-bit hashes that no text can aim at (see ``common``); in the buckets, where all groups
+meet, equal hashes of windows are compared as text too.
+
+Defined results: ids are whole numbers (others raise a TypeError); null text has no words; a null id counts as larger than
+all ids (2**63 - 1 is taken for it) and is returned as null; repeated rows (equal id) are never removed in favour of each
+other; texts under ``window`` words stay whole, texts of any length are read whole; an empty table gives an empty result;
+extra columns are passed on, but for those named like an added column (capitals aside), which are dropped.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import U64, Words, chunks, grams, longs_of, prefix, ranges, segments, shuffle_partitions, sliding_min, small_batches, table, texts_of
+from .common import U64, Words, bounded_batches, chunks, free_name, grams, longs_of, range_marks, segments, shuffle_partitions, sliding_min, table, texts_of, without
 
 ADDED = ("n_words", "n_removed", "kept_text", "kept_sha256")
 _TOP = U64(1 << 63)
@@ -44,19 +49,19 @@ class _Runs:
         h = w.hashes()
         ok = segments(w.of, window)
         n = len(ok)
-        self.sums = prefix(h)
         if not ok.any():
             self.key = self.doc = np.zeros(0, U64)
             self.a = self.windows = np.zeros(0, np.int64)
             self.content = np.zeros(0, U64)
             return
+        whole = grams(h, window)
         least = grams(h, gram) >> U64(1)
         if hot is not None:
             least = np.where(hot[least >> U64(63 - 18)], least | _TOP, least)
         key = sliding_min(least, window - gram + 1)[:n]
         if hot is not None and (all_hot := key >= _TOP).any():
             i = np.flatnonzero(all_hot)
-            key[i] = ranges(self.sums, i, i + window) | _TOP
+            key[i] = whole[i] | _TOP
         doc = w.docs()[:n]
         at = np.flatnonzero(ok)
         first = np.ones(len(at), bool)
@@ -65,7 +70,7 @@ class _Runs:
         self.windows = np.diff(np.append(r, len(at)))
         self.a = at[r]
         self.key, self.doc = key[self.a], doc[self.a]
-        self.content = ranges(self.sums, self.a, self.a + self.windows + window - 1)
+        self.content = range_marks(whole, self.a, self.windows)
 
 
 def _count_slots(window: int, gram: int):
@@ -103,10 +108,10 @@ def _unpack(blob: bytes, kinds: list[type]) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def _send(id_col: str, text_col: str, window: int, gram: int, hot: np.ndarray, buckets: int):
+def _send(window: int, gram: int, hot: np.ndarray, buckets: int):
     def run(t: pa.Table) -> pa.Table:
         group = t["__g"][0].as_py()
-        ids, texts = longs_of(t[id_col], _NULL_ID), texts_of(t[text_col])
+        ids, texts = longs_of(t["id"], _NULL_ID), texts_of(t["text"])
         out: dict[str, list] = {"__b": [], "__g": [], "blob": []}
         for x, y in chunks(texts):
             runs = _Runs(texts[x:y], window, gram, hot)
@@ -182,14 +187,14 @@ def _count(window: int):
             where.append(np.full(len(n), g))
         n, lo, hi, where = (np.concatenate(x) for x in (windows, low, high, where))
         words = Words(texts)
-        sums = prefix(words.hashes())
+        whole = grams(words.hashes(), window)
         length = n.astype(np.int64) + window - 1  # in words
         start = np.cumsum(length) - length
-        content = ranges(sums, start, start + length)
+        content = range_marks(whole, start, n.astype(np.int64))
         skm = np.repeat(np.arange(len(n)), n)
         at = np.cumsum(n) - n
         word = start[skm] + np.arange(len(skm)) - at[skm]
-        hashes = ranges(sums, word, word + window)
+        hashes = whole[word]
         buf, starts, ends = words.buf.tobytes(), words.starts, words.ends
 
         def same(i: int, j: int, k: int) -> bool:
@@ -265,10 +270,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The columns of docs and n_words, n_removed, kept_text (the text itself where nothing goes, else the words kept, parted
     by single spaces) and kept_sha256 (of the words kept, parted by single spaces)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED or c in ("__g", "__b")])
+    bounded_batches(spark)
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers: their order decides what goes")
+    docs = without(docs, ADDED)
     if not want_text:
         docs = docs.select(id_col, text_col)
+    g = free_name("__g", docs.columns)
     counted = docs.select(text_col).mapInArrow(_count_slots(window, gram), "part int, total long, counts binary")
     counted = counted.groupBy("part").applyInArrow(_sum_slots, "part int, total long, counts binary").collect()  # 16 rows, 2 MB, at any input
     counts = np.zeros((16, _SLOTS // 16), np.int64)
@@ -278,12 +286,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = counts > max(64, counts.sum() / 2048)
     size, parts = sum(row.total for row in counted), shuffle_partitions(spark)
     groups, buckets = max(2 * parts, size // group_bytes), max(8 * parts, 3 * size // (8 << 20))
-    dealt = docs.withColumn("__g", F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")).repartition("__g")
-    sent = dealt.select("__g", id_col, text_col).groupBy("__g").applyInArrow(_send(id_col, text_col, window, gram, hot, int(buckets)), "__b int, __g int, blob binary")
+    dealt = docs.withColumn(g, F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")).repartition(g)
+    mine = dealt.select(F.col(g).alias("__g"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sent = mine.groupBy("__g").applyInArrow(_send(window, gram, hot, int(buckets)), "__b int, __g int, blob binary")
     hits = sent.groupBy("__b").applyInArrow(_count(window), "__g int, blob binary")
     passed = [c for c in docs.columns if want_text or c != text_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    return dealt.groupBy("__g").cogroup(hits.groupBy("__g")).applyInArrow(_remove(id_col, text_col, window, gram, hot, passed, want_text), f"{fields}, n_words long, n_removed long, {'kept_text string, ' if want_text else ''}kept_sha256 string")
+    more = "n_words long, n_removed long, " + "kept_text string, " * want_text + "kept_sha256 string"
+    removed = _remove(id_col, text_col, window, gram, hot, passed, want_text)
+    return dealt.groupBy(g).cogroup(hits.groupBy("__g")).applyInArrow(removed, f"{fields}, {more}")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

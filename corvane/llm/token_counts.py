@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, Words, chunks, mix, powers, small_batches, table, texts_of
+from .common import U64, Words, bounded_batches, chunks, mix, powers, table, texts_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -126,7 +126,7 @@ _pieces: dict[str, Pieces] = {}
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens. vocabulary: a file's path; by default that of the public one, looked up where it is installed."""
-    small_batches(docs.sparkSession, 3000)  # words repeat: larger batches have fewer distinct ones a text
+    bounded_batches(docs.sparkSession)  # words repeat: larger batches have fewer distinct ones a text
     if vocabulary is None:
         import public_tokenizers
 

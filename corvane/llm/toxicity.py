@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, small_batches, table, texts_of
+from .common import Words, bounded_batches, chunks, table, texts_of
 
 POSITIVES, LABELLED, UNLABELLED = 6_000, 12_000, 18_000
 THRESHOLD, HELD_OUT, FOLDS = 0.3, 2, (0, 1, 3)
@@ -190,7 +190,7 @@ def _score(model):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD) of each row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     model = train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (_mod(id_col) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     if model is None:

@@ -372,3 +372,46 @@ def test_oracles(spark):
         names = [d[0] for d in rows.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, rows.fetchall())), name
+
+
+def thue_morse(n: int, a: str, b: str, sep: str = "") -> tuple[str, str]:
+    """The sequence of two symbols and its complement: equal under any polynomial hash modulo 2**64 from some length on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return sep.join((a, b)[x] for x in bits), sep.join((b, a)[x] for x in bits)
+
+
+def test_no_text_can_aim_at_the_hashes(spark):
+    x, y = thue_morse(2048, "a", "b")
+    w = B.Words([f"{x} {y}".encode()])
+    assert w.hashes()[0] != w.hashes()[1]
+    p, q = thue_morse(2048, "left", "right", " ")
+    rows = [(1, f"{x} {y}", "en", 0), (2, p, "en", 0), (3, q, "en", 0), (4, p + " " + q, "en", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = B.dedup_substrings(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_substrings(rows)
+    one = B.Words([p.encode(), q.encode()])
+    whole = B.grams(one.hashes(), 50)
+    marks = B.range_marks(whole, one.of[:2], np.array([1999, 1999]))
+    assert marks[0] != marks[1]
+    got = Q.quality(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == sorted((k, *plain_quality(t)) for k, t, *_ in rows)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
+    text = f"{x[:1024]} {y[:1024]}"
+    ids = [*whole.encode(text, add_special_tokens=False).ids, 1]
+    got = P.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), want_ids=True).orderBy("piece").collect()
+    assert [i for r in got for i in r.ids] == ids
+    pieces = C.Pieces(public_tokenizers.path(C.VOCABULARY))
+    got = C.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_tokens == sum(pieces.count(C.MARK + s) for s in text.split())
+
+
+def test_names_that_differ_by_capitals_clash(spark):
+    docs = spark.createDataFrame([(1, "one two three", 5, "x", 7), (2, None, None, None, None)], "doc_id long, text string, N_WORDS int, __g string, __hash int")
+    assert {r.doc_id for r in B.dedup_substrings(docs).collect()} == {1, 2} and "__g" in B.dedup_substrings(docs).columns
+    assert [c for c in Q.quality(docs).columns if c.lower() == "n_words"] == ["n_words"]
+    got = {r.doc_id: r for r in S.shard(docs.withColumnRenamed("N_WORDS", "SLOT"), shards=3).collect()}
+    assert got[1]["__hash"] == 7 and got[1].slot == 0
+    with pytest.raises(TypeError):
+        B.dedup_substrings(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
