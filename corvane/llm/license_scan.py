@@ -5,14 +5,20 @@ longest increasing subsequence of the anchors is kept, and the gaps between them
 their ends. A gap without an anchor, a few words by then, takes the longest common subsequence. Coverage is the share of the
 template's words that are aligned.
 
-A text is aligned where a template can be: in windows of the template's length and a half whose words, counted, cover
-LEAST of it. That bound is exact, so nothing aligned to LEAST or more is missed. One map over the documents; the templates
-are part of the code. Defined results: null and empty texts hold no license; null ids are returned as null; repeated rows
-give rows each; texts of any length are scanned whole; an empty table gives an empty result; extra columns play no part.
+A stretch of a text holds a license if LEAST of the template's words, and DENSITY of its own words, can be aligned. No such
+stretch is longer than the template's words by DENSITY, so from each word of the template a window of that length decides, and
+nothing is missed: words are counted first, then the most that any alignment could give is computed for all ends of the window
+at once, in bits. The stretch with most aligned words, and of these the shortest, is aligned by patience; where that falls short of what
+can be aligned and of LEAST, by the longest common subsequence. The scan goes on behind the stretch.
+
+One map over the documents; the templates are part of the code. Defined results: null and empty texts hold no license; null
+ids are returned as null; repeated rows give rows each; texts of any length are scanned whole; an empty table gives an empty
+result; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Words, bounded_batches, chunks, table, texts_of
 from .toxicity import _FOLD, _NOT_WORD
 
-LEAST = 0.8
+LEAST, DENSITY = 0.8, 0.4
 # Wording of public licence notices.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -111,6 +117,79 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Template:
+    """A template's words, and for each the places it stands at as bits, from the left and from the right."""
+
+    def __init__(self, words: list[int], least: float = LEAST, density: float = DENSITY):
+        self.words, self.size = words, len(words)
+        self.need, self.density = max(1, math.ceil(least * len(words) - 1e-9)), density
+        self.reach = int(len(words) / density + 1e-9)
+        self.count = Counter(words)
+        self.forward: dict[int, int] = {}
+        self.backward: dict[int, int] = {}
+        for i, w in enumerate(words):
+            self.forward[w] = self.forward.get(w, 0) | 1 << i
+            self.backward[w] = self.backward.get(w, 0) | 1 << (len(words) - 1 - i)
+
+    def most(self, ids: list[int], at: list[int], k: int) -> tuple[int, int]:
+        """(aligned, end): the most words that a stretch from at[k] on can have aligned if it is dense enough, and the least end."""
+        full = open_ = (1 << self.size) - 1
+        first, best, end = at[k], 0, 0
+        while k < len(at) and at[k] < first + self.reach and best < self.size:
+            step = open_ & self.forward[ids[at[k]]]
+            if step:
+                open_ = ((open_ + step) | (open_ - step)) & full
+                aligned = self.size - open_.bit_count()
+                if aligned > best and aligned >= self.need and aligned >= self.density * (at[k] + 1 - first):
+                    best, end = aligned, at[k] + 1
+            k += 1
+        return best, end
+
+    def last_start(self, ids: list[int], at: list[int], end: int, aligned: int) -> int:
+        """The start of the shortest stretch up to end with so many words aligned."""
+        full = open_ = (1 << self.size) - 1
+        k = bisect_left(at, end) - 1
+        while True:
+            step = open_ & self.backward[ids[at[k]]]
+            open_ = ((open_ + step) | (open_ - step)) & full
+            if self.size - open_.bit_count() >= aligned:
+                return at[k]
+            k -= 1
+
+    def stretches(self, ids: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, aligned) of the stretches of a text, none inside another. ids: of its words, -1 for those of no template."""
+        at = [i for i, w in enumerate(ids) if w in self.count]
+        out = []
+        held: Counter = Counter()
+        good = k = hi = 0
+        while k < len(at):
+            while hi < len(at) and at[hi] < at[k] + self.reach:
+                w = ids[at[hi]]
+                good += held[w] < self.count[w]
+                held[w] += 1
+                hi += 1
+            after = 0
+            if good >= self.need:
+                aligned, end = self.most(ids, at, k)
+                if aligned:
+                    start = self.last_start(ids, at, end, aligned)
+                    pairs = align(ids[start:end], self.words)
+                    if len(pairs) < self.need or len(pairs) < self.density * (pairs[-1][0] + 1 - pairs[0][0]):
+                        pairs = _common(ids[start:end], self.words)
+                    out.append((start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)))
+                    after = out[-1][1]
+            while True:
+                w = ids[at[k]]
+                held[w] -= 1
+                good -= held[w] < self.count[w]
+                k += 1
+                if k >= len(at) or at[k] >= after:
+                    break
+                if k >= hi:
+                    hi, held, good = k + 1, Counter((ids[at[k]],)), 1
+        return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
@@ -118,34 +197,8 @@ class Scanner:
         hashes = w.hashes(_FOLD)
         self.vocabulary = np.unique(hashes)
         ids = np.searchsorted(self.vocabulary, hashes)
-        self.words = [ids[w.of[i] : w.of[i + 1]].tolist() for i in range(len(templates))]
-        self.counts = np.stack([np.bincount(x, minlength=len(self.vocabulary)) for x in self.words])
-
-    def windows(self, ids: np.ndarray, t: int) -> list[tuple[int, int]]:
-        """Parts of a text that can cover LEAST of a template. ids: of its words, -1 for others. Overlapping windows are one."""
-        need, size = LEAST * len(self.words[t]), len(self.words[t]) * 3 // 2 + 2
-        mine = self.counts[t]
-        held = np.where(ids >= 0, mine[ids] > 0, False)
-        at = np.flatnonzero(held)
-        out: list[tuple[int, int]] = []
-        count: Counter = Counter()
-        good, lo = 0, 0
-        for hi, x in enumerate(at.tolist()):
-            w = int(ids[x])
-            count[w] += 1
-            good += count[w] <= mine[w]
-            while at[lo] <= x - size:
-                y = int(ids[at[lo]])
-                good -= count[y] <= mine[y]
-                count[y] -= 1
-                lo += 1
-            if good >= need:
-                a, b = int(at[lo]), x + 1
-                if out and a < out[-1][1] and b - out[-1][0] <= 2 * size:
-                    out[-1] = (out[-1][0], b)
-                elif not out or a >= out[-1][1] or b - out[-1][0] > 2 * size:
-                    out.append((a, b))
-        return out
+        self.templates = [Template(ids[w.of[i] : w.of[i + 1]].tolist()) for i in range(len(templates))]
+        self.counts = np.stack([np.bincount(t.words, minlength=len(self.vocabulary)) for t in self.templates])
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, str, int, int, int, float]]:
         """(text, license, first word, words, aligned words, coverage), each stretch of a text once a template; one that
@@ -158,22 +211,11 @@ class Scanner:
         width = len(self.vocabulary)
         counts = np.bincount(doc[known] * width + i[known], minlength=len(texts) * width).reshape(len(texts), width)
         out = []
-        for t, name in enumerate(self.names):
-            template = self.words[t]
-            possible = np.minimum(counts, self.counts[t]).sum(axis=1) >= LEAST * len(template)
+        for t, (name, template) in enumerate(zip(self.names, self.templates, strict=True)):
+            possible = np.minimum(counts, self.counts[t]).sum(axis=1) >= template.need
             for d in np.flatnonzero(possible).tolist():
-                mine = ids[w.of[d] : w.of[d + 1]]
-                end = 0
-                for a, b in self.windows(mine, t):
-                    a = max(a, end)
-                    while a < b:  # a window may hold copies one after the other
-                        pairs = align(mine[a:b].tolist(), template)
-                        coverage = len(pairs) / len(template)
-                        if coverage < LEAST:
-                            break
-                        start, end = a + pairs[0][0], a + pairs[-1][0] + 1
-                        out.append((d, name, start, end - start, len(pairs), round(coverage, 6)))
-                        a = end
+                for start, end, aligned in template.stretches(ids[w.of[d] : w.of[d + 1]].tolist()):
+                    out.append((d, name, start, end - start, aligned, round(aligned / template.size, 6)))
         best: dict[int, list] = {}
         for x in sorted(out, key=lambda x: (-x[5], -x[4], x)):
             mine = best.setdefault(x[0], [])

@@ -415,3 +415,45 @@ def test_names_that_differ_by_capitals_clash(spark):
     assert got[1]["__hash"] == 7 and got[1].slot == 0
     with pytest.raises(TypeError):
         B.dedup_substrings(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_licenses_are_found_where_any_stretch_aligns(seed):
+    r = random.Random(seed)
+    words = [r.randrange(7) for _ in range(r.randint(1, 9))]
+    t = L.Template(words)
+    text = []
+    while len(text) < 60:
+        if r.random() < 0.1:
+            for w in words:
+                text += [w] * (r.random() < 0.95) + [-1] * r.choice([0, 0, 0, 1, 2])
+        else:
+            text.append(r.choice([-1, -1, -1, r.randrange(7)]))
+    got = t.stretches(text)
+    passes = lambda a, b: (n := common_length(text[a:b], words)) >= t.need and n >= L.DENSITY * (b - a)
+    good = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + t.reach) + 1) if passes(a, b)]
+    assert bool(got) == bool(good)
+    assert all(common_length(text[a:b], words) >= n >= t.need and n >= L.DENSITY * (b - a) for a, b, n in got)
+    # what is left between the stretches holds none
+    edges = [0, *(e for x in got for e in x[:2]), len(text)]
+    for lo, hi in zip(edges[2::2], edges[3::2], strict=True):
+        assert not any(lo <= a and b <= hi for a, b in good)
+
+
+def test_licenses_with_words_between():
+    mit = L.TEMPLATES["mit"].split()
+    for extra in ("zz", "the"):
+        text = " ".join(x for w in mit for x in (w, extra))
+        assert [(x[1], x[5]) for x in L.Scanner().scan([text.encode()])] == [("mit", 1.0)]
+    twice = " ".join([*mit, *mit, "x", *mit])
+    assert [x[1] for x in L.Scanner().scan([twice.encode()])] == ["mit"] * 3
