@@ -275,9 +275,63 @@ def test_decontamination(spark, odd, none):
 
 def test_index_gives_all_within_the_radius():
     r = np.random.default_rng(5)
-    items = D.Items([prose(20, 60 + i).encode() for i in range(60)], list(range(60)))
-    for mark in [int(items.print[i]) ^ int(sum(1 << int(b) for b in r.choice(64, D.RADIUS, replace=False))) for i in range(60)]:
-        assert set(items.near(mark)) == {i for i in range(60) if bin(int(items.print[i]) ^ mark).count("1") <= D.RADIUS}
+    items = D.Items([prose(20, 60 + i).encode() for i in range(600)])
+    seen = []
+    for i in range(60):
+        mark = int(items.print[i]) ^ int(sum(1 << int(b) for b in r.choice(64, D.RADIUS, replace=False)))
+        assert set(items.near(mark)) == {i for i in range(600) if bin(int(items.print[i]) ^ mark).count("1") <= D.RADIUS}
+        seen.append(len(items.candidates(mark)) / 600)
+    assert np.mean(seen) < 0.1  # the blocks choose
+
+
+def plain_similar(text, item):
+    """The largest similarity of any window of the item's size, from the definition alone."""
+    fold = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in split(t)]
+    w, q = fold(text), fold(item)
+
+    def bag(x):
+        runs = [tuple(x[i : i + 5]) for i in range(len(x) - 4)] if len(x) >= 5 else [tuple(x)] if x else []
+        out = Counter()
+        for s in runs:
+            out[s] += sum(map(len, s))
+        return out
+
+    n = min(len(q), len(w))
+    b, best = bag(q), 0.0
+    for i in range(len(w) - n + 1) if n else ():
+        a = bag(w[i : i + n])
+        shared = sum((a & b).values())
+        best = max(best, shared / (sum(a.values()) + sum(b.values()) - shared))
+    return best
+
+
+def test_decontamination_finds_edited_items(spark):
+    r = random.Random(9)
+    items = [prose(r.choice([3, 4, 5, 9, 14, 15, 20, 30, 45, 60]), 500 + i) for i in range(120)]
+    docs = []
+    for i in range(240):
+        w = split(items[i % 120])
+        for _ in range(r.randrange(4)):
+            at = r.choice([0, 1, len(w) - 1, r.randrange(len(w))]) % len(w)
+            match r.randrange(3):
+                case 0:
+                    w[at] = r.choice(WORDS).upper()
+                case 1:
+                    w.insert(at, r.choice(WORDS))
+                case _ if len(w) > 2:
+                    del w[at]
+        docs.append(" ".join([*r.choices(WORDS, k=r.randrange(30)), *w, *r.choices(WORDS, k=r.randrange(30))]))
+    want = {(i, j): s for i, t in enumerate(docs) for j, x in enumerate(items) if (s := plain_similar(t, x)) >= D.SIMILARITY - 1e-9}
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame([(f"item {j}", x) for j, x in enumerate(items)], "item_id string, text string")
+    one = D.contaminated(d, b).collect()
+    got = {(x.doc_id, int(x.item_id.split()[1])): x.similarity for x in one}
+    assert len(want) > 100 and set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert len(got) >= 0.99 * len(want)
+    many = D.contaminated(d, b, block_bytes=2000)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one))
+    left = {x.doc_id for x in D.drop_contaminated(d, b).collect()}
+    assert left == set(range(240)) - {i for i, _ in got} == {x.doc_id for x in D.drop_contaminated(d, b, block_bytes=2000).collect()}
 
 
 def test_decontamination_of_the_tables(spark):
