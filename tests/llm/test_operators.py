@@ -209,6 +209,56 @@ def test_html_extraction(spark):
     assert X.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_an_article_element(spark):
+    """The template decides: what is the same on a host's pages goes, what differs stays."""
+
+    def page(k, body):
+        return f"<html><body><div class=brand>The Daily Thing</div><div class=links><a href=1>One</a> <a href=2>Two {k}</a></div><div class=body>{body}</div><div class=fine>All our pages are free of charge.</div></body>"
+
+    rows = [(k, "http://a.example/x", page(k, f"<h2>Title {k}</h2><p>First text of {k}.<p>Second, <a href=q>see {k}</a> and more words.")) for k in range(8)]
+    got = {r.page_id: r.text for r in X.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nFirst text of {k}.\nSecond, see {k} and more words." for k in range(8)}
+
+
+def test_html_names_inside_an_article_remove_nothing_alone(spark):
+    def page(k):
+        return f'<body><header>Site {k}</header><article><div class="article-header"><h1>Head {k}</h1></div><section class="search-results"><p>Found {k} things.</p></section><div class=note>Our usual notice: be kind.</div><p>Text {k}</p><div class="comments"><p>I disagree {k}</p></div><ul class=more><li><a href=1>See {k}</a><li><a href=2>And {k}</a></ul></article><aside>Side {k}</aside></body>'
+
+    want = "Head {0}\nFound {0} things.\n{1}Text {0}"
+    schema = "page_id long, url string, html string"
+    many = X.extract_text(spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(6)], schema)).collect()
+    assert {r.page_id: r.text for r in many} == {k: want.format(k, "") for k in range(6)}  # the notice is the template's
+    few = X.extract_text(spark.createDataFrame([(0, "http://h.example/", page(0))], schema)).first()
+    assert few.text == want.format(0, "Our usual notice: be kind.\n")
+
+
+def test_html_of_repeated_and_nearly_equal_pages(spark):
+    page = lambda k, t: f"<body><div class=top>Our name</div><p>{t}</p><p>only {k}</p></body>"
+    schema = "page_id long, url string, html string"
+    rows = [(i, "http://h.example/", page(i % 2, "AB"[i % 2])) for i in range(8)]  # two pages, four times each
+    assert {r.text for r in X.extract_text(spark.createDataFrame(rows, schema)).collect()} == {"Our name\nA\nonly 0", "Our name\nB\nonly 1"}
+    near = [(i, "http://n.example/", f"<body><article><p>{prose(60, 7)}</p><p>copy {i}</p></article></body>") for i in range(6)]
+    assert {r.page_id: r.text for r in X.extract_text(spark.createDataFrame(near, schema)).collect()} == {i: f"{prose(60, 7)}\ncopy {i}" for i in range(6)}
+
+
+def test_classes_out_of_order_or_crossing_are_found():
+    assert X._broken({1: 0, 2: 5, 3: 7}, [[1, 2, 3]]) == []
+    assert X._broken({1: 5, 2: 0}, [[1, 2]]) == [0]
+    assert X._broken({1: 0, 2: 9, 3: 3, 4: 6}, [[1, 2], [3, 4]]) == []  # nested
+    assert X._broken({1: 0, 2: 5, 3: 3, 4: 8}, [[1, 2], [3, 4]]) == [1]  # crossing
+    assert X._broken({1: 0, 2: 5, 5: 9, 3: 3, 4: 7}, [[1, 2, 5], [3, 4]]) == [1]  # over two gaps
+
+
+def test_html_templates_joined_by_salts(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 3}.example/", f"<body><div class=a>Same</div><p>own {k}</p></body>") for k in range(60)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: f"own {k}" for k in range(60)}
+    assert {r.page_id: r.text for r in X.extract_text(d).collect()} == want
+    monkeypatch.setattr(X, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(X, "SALTED_PAGES", 7)
+    assert {r.page_id: r.text for r in X.extract_text(d).collect()} == want
+
+
 def test_html_of_the_tables(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
 
