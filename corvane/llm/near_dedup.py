@@ -1,20 +1,24 @@
 """Near-duplicate classes: improved consistent weighted sampling over tf-idf shingles, banded and verified.
 
-Shingles are five consecutive words (a shorter text is one shingle). A shingle's weight is (1 + ln tf) * idf with
-idf = 1 + GAIN * ln((1 + N) / (1 + df)) / ln(1 + N); df is counted over all documents in a table of fixed width, whose size
-bounds the broadcast. GAIN is low, since a group of near copies raises the df of just what its members share.
+Shingles are five consecutive words (a shorter text is one shingle). A shingle's weight is (1 + ln tf) * idf. Its idf is taken
+from its words, LEAST_IDF + (1 - LEAST_IDF) times the mean of theirs, since a shingle's own document frequency is that of
+its group of copies. A word's idf is ln((1 + N) / (1 + df)) / ln(1 + min(N, RARE)), 1 at most, in 256 steps; df is counted
+exactly over all documents, and only words in one document of RARE or more are told apart, which bounds the broadcast by RARE times the words of
+an average text at any input.
 
-1. One pass fills the df table; one pass draws BANDS * ROWS consistent samples a text and emits one key a band.
+1. One pass counts the words' documents; one pass draws BANDS * ROWS consistent samples a text and emits one key a band.
 2. Equal texts are one node. In each bucket every node meets one leader, chosen anew in each band. Pairs of which at least
-   least_agreeing of all samples agree (one at the threshold is missed with probability MISSED at most) are verified by exact weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all;
-   nodes linked to it stay, since the hub of a group may be among them. A bucket whose nodes are all linked to one leader is done.
-   The second and third leaders are the nodes with most links, which finds hubs.
+   least_agreeing of all samples agree (one at the threshold is missed with probability MISSED at most) are verified by exact
+   weighted Jaccard similarity of the whole texts. Then the leader leaves, having met all; nodes linked to it stay, since the hub
+   of a group may be among them. A bucket whose nodes are all linked to one leader is done. The second and third leaders are
+   the nodes with most links, which finds hubs.
 3. What is left in a bucket, unless it is one component already, is met in full: salted blocks compare the samples of all pairs of
    different components, then blocks with texts verify the likely ones. A bucket of n unlinked nodes costs n**2 / 2 comparisons.
 4. Components of the verified links come from alternating large and small stars. The class id is the least doc_id.
 
 Defined results: equal texts share a class, empty texts too; a null text is a class of its own per id; a null id counts as
-larger than all others; repeated rows share a class and one of them is kept; an empty table gives an empty result.
+larger than all others; repeated rows share a class and one of them is kept; texts of any length are compared whole; extra columns are
+passed on, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,22 +27,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bounded_batches, checkpointed, chunks, grams, mix, prefix, ranges, segments, shuffle_partitions, table, texts_of
+from .common import U64, Words, bounded_batches, checkpointed, chunks, free_name, grams, mix, prefix, ranges, segments, shuffle_partitions, table, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-GAIN = 0.25
+LEAST_IDF, RARE = 0.25, 4096
 MISSED = 1e-6
 LEADERS, SIGN_BLOCK, TEXT_BLOCK = 3, 2_048, 256
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 _SIGN_COLUMNS = [f"s{i}" for i in range(BANDS * ROWS // 8)]
-_BITS, _SLOTS = 46, 1 << 21
-_PARTS = 128
-_MASK = U64((1 << _BITS) - 1)
+PAIRS_A_TASK = 1_000
+_BITS = 46
+_MASK, _CODE = U64((1 << _BITS) - 1), U64(0xFF)
 _rng = np.random.default_rng(1913)
 _MUL = (_rng.integers(0, 2**31, (BANDS * ROWS, 4), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 #: Quantiles of Gamma(2, 1), for r and for ln c, by bisection of its distribution function 1 - (1 + x) e**-x.
@@ -59,54 +62,78 @@ _INV_R = (1 / _R).astype(np.float32)
 _LN_C = np.log(_gamma2(1 << 16)).astype(np.float32)
 
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text's index, hash and count of each distinct shingle, by text and hash."""
+class Idf:
+    """The idf of words in 256 steps: those of the given hashes (_BITS bits), and 255 of all others."""
+
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], codes[order].astype(np.uint8)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes >> U64(_BITS - 20)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        h = h & _MASK
+        out = np.full(len(h), 255, np.int64)
+        at = np.flatnonzero(self.maybe[(h >> U64(_BITS - 20)).astype(np.int64)])
+        if len(at):
+            i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            same = self.hashes[i] == h[at]
+            out[at[same]] = self.codes[i[same]]
+        return out
+
+
+NO_IDF = Idf(np.zeros(0, U64), np.zeros(0, np.uint8))
+
+
+def shingles(texts: list[bytes], idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text's index, hash and count of each distinct shingle, by text and hash. A hash's low byte is the mean of its words' idf."""
     w = Words(texts)
     h = w.hashes()
     n = np.diff(w.of)
+    codes = np.zeros(w.n + 1, np.int64)
+    np.cumsum(idf.of(h), out=codes[1:])
+    coded = lambda g, a, k: (g & _MASK & ~_CODE) | ((codes[a + k] - codes[a]) // k).astype(U64)
     ok = np.flatnonzero(segments(w.of, SHINGLE))
     doc = w.docs()
-    g, d = grams(h, SHINGLE)[ok] if len(ok) else np.zeros(0, U64), doc[ok]
+    g, d = coded(grams(h, SHINGLE)[ok], ok, SHINGLE) if len(ok) else np.zeros(0, U64), doc[ok]
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
-        g = np.concatenate([g, mix(ranges(prefix(h), w.of[short], w.of[short + 1]) + U64(1))])
+        a = w.of[short]
+        g = np.concatenate([g, coded(mix(ranges(prefix(h), a, w.of[short + 1]) + U64(1)), a, n[short])])
         d = np.concatenate([d, short])
-    s = np.sort((d.astype(U64) << U64(_BITS)) | (g & _MASK))
+    s = np.sort((d.astype(U64) << U64(_BITS)) | g)
     first = np.ones(len(s), bool)
     first[1:] = s[1:] != s[:-1]
     f = np.flatnonzero(first)
     return (s[f] >> U64(_BITS)).astype(np.int64), s[f] & _MASK, np.diff(np.append(f, len(s)))
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(_BITS - 21)).astype(np.int64)
+def weights(h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """(1 + ln tf) * idf of shingles."""
+    return (1 + np.log(tf)) * (LEAST_IDF + (1 - LEAST_IDF) / 255 * (h & _CODE).astype(np.float64))
 
 
-def _count_df(batches):
-    counts, n = np.zeros(_SLOTS, np.int64), 0
+def _documents_of_words(batches):
+    """(word, n): documents of a batch that hold the word; word 0 stands for all documents."""
     for batch in batches:
         texts = texts_of(batch.column(0))
-        n += len(texts)
         for a, b in chunks(texts):
-            counts += np.bincount(_slot(shingles(texts[a:b])[1]), minlength=_SLOTS)
-    z = zstandard.ZstdCompressor(1)
-    parts = [z.compress(p.tobytes()) for p in counts.reshape(_PARTS, -1)]
-    yield pa.RecordBatch.from_pydict({"part": pa.array(range(_PARTS), pa.int32()), "n": pa.array([n] + [0] * (_PARTS - 1), pa.int64()), "counts": pa.array(parts, pa.binary())})
-
-
-def _sum_df(t: pa.Table) -> pa.Table:
-    counts = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in t["counts"].to_pylist())
-    return pa.table({"part": t["part"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "counts": pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary())})
+            w = Words(texts[a:b])
+            h = np.unique((w.docs().astype(U64) << U64(_BITS)) | (w.hashes() & _MASK)) & _MASK
+            word, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(0, word.astype(np.int64))), pa.array(np.append(b - a, n))], ["word", "n"])
 
 
-def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The idf of each slot, as float32: 8 MB at any input."""
-    schema = "part int, n long, counts binary"
-    counts, n = np.zeros((_PARTS, _SLOTS // _PARTS), np.int64), 0
-    for row in docs.select(text_col).mapInArrow(_count_df, schema).groupBy("part").applyInArrow(_sum_df, schema).collect():
-        counts[row.part] = np.frombuffer(zstandard.decompress(row.counts), np.int64)
-        n += row.n
-    return (1 + GAIN * np.log((1 + n) / (1 + np.minimum(counts.ravel(), n))) / np.log(2 + n)).astype(np.float32)
+def idf_of_words(docs: DataFrame, text_col: str) -> Idf:
+    """The idf of the words that one document of RARE or more holds: RARE times the words of an average text at most."""
+    df = checkpointed(docs.select(text_col).mapInArrow(_documents_of_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    n = (df.where("word = 0").first() or [0, 0])[1]
+    common = df.where((F.col("word") != 0) & (F.col("n") * RARE >= n)).toArrow() if n else None
+    if common is None or not common.num_rows:
+        return NO_IDF
+    some = common["n"].to_numpy()
+    idf = np.minimum(1, np.log((1 + n) / (1 + some)) / np.log(1 + min(n, RARE)))
+    return Idf(common["word"].to_numpy().astype(U64), np.round(255 * np.maximum(idf, 0)))
 
 
 def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,25 +172,24 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> t
 
 def _sign(idf):
     def run(batches):
-        table_ = idf.value
         for batch in batches:
-            texts = texts_of(batch.column(2))
+            texts = texts_of(batch.column(1))
             keys, signs = [np.zeros((0, BANDS), U64)], [np.zeros((0, BANDS * ROWS), np.uint8)]
             for a, b in chunks(texts, 2 << 20):
-                doc, h, tf = shingles(texts[a:b])
-                key, sign = samples(doc, h, (1 + np.log(tf)) * table_[_slot(h)], b - a)
+                doc, h, tf = shingles(texts[a:b], idf.value)
+                key, sign = samples(doc, h, weights(h, tf), b - a)
                 keys.append(key)
                 signs.append(sign)
             longs = np.concatenate([np.concatenate(keys).view(np.int64), np.concatenate(signs).view(np.int64)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x)) for x in longs.T)], ["id", "key", *_BAND_COLUMNS, *_SIGN_COLUMNS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in longs.T)], ["key", *_BAND_COLUMNS, *_SIGN_COLUMNS])
 
     return run
 
 
-def similarities(left: list[bytes], right: list[bytes], idf: np.ndarray) -> np.ndarray:
+def similarities(left: list[bytes], right: list[bytes], idf: Idf) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts."""
-    (da, ha, ta), (db, hb, tb) = shingles(left), shingles(right)
-    wa, wb = ((1 + np.log(t)) * idf[_slot(h)] for t, h in ((ta, ha), (tb, hb)))
+    (da, ha, ta), (db, hb, tb) = shingles(left, idf), shingles(right, idf)
+    wa, wb = weights(ha, ta), weights(hb, tb)
     total = np.bincount(da, wa, len(left)) + np.bincount(db, wb, len(left))
     s = np.concatenate([(d.astype(U64) << U64(_BITS)) | h for d, h in ((da, ha), (db, hb))])
     w = np.concatenate([wa, wb])
@@ -191,7 +217,7 @@ def _likely(least: int):
         for batch in batches:
             left, right = (np.stack([batch.column(k).to_numpy() for k in range(at, at + len(_SIGN_COLUMNS))], axis=1).view(np.uint8) for at in (2, 2 + len(_SIGN_COLUMNS)))
             agree = pa.array((left == right).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(agree), batch.column(1).filter(agree)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(agree), batch.column(1).filter(agree)], ["head", "other"])
 
     return run
 
@@ -241,8 +267,8 @@ def _verify_block(idf, similarity: float):
         x, y = _candidates(t, least_agreeing(similarity))
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
-        doc, h, tf = shingles(texts_of(t["text"]))
-        weight = (1 + np.log(tf)) * idf.value[_slot(h)]
+        doc, h, tf = shingles(texts_of(t["text"]), idf.value)
+        weight = weights(h, tf)
         ids = np.unique(h, return_inverse=True)[1]
         of = np.searchsorted(doc, np.arange(len(t) + 1))
         total = np.bincount(doc, weight, len(t))
@@ -294,6 +320,16 @@ def met_in_full(rows: DataFrame, marks: DataFrame, texts: DataFrame, links: Data
     return checkpointed(of_texts.groupBy("bucket", "i", "j").applyInArrow(_verify_block(idf, similarity), "a binary, b binary").distinct())
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, ta, tb) of pairs (head, other): the other's text first, then the head's, dealt over a salt for PAIRS_A_TASK pairs, so
+    that the text of a head with many pairs is copied once a salt."""
+    many = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("salts"))
+    others = sized(pairs.join(texts.toDF("other", "tb"), "other"), n, 2_000).join(many, "head")
+    others = others.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).drop("salts")
+    heads = many.join(texts.toDF("head", "ta"), "head").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return others.join(heads, ["head", "salt"]).select("head", "other", "ta", "tb")
+
+
 def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """df in as many partitions as so many rows need: small rounds leave few files."""
     return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), rows // each + 1)))
@@ -319,21 +355,19 @@ def components(links: DataFrame) -> DataFrame:
         before, rows = now, now[0]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __key: equal for equal texts, another for each null text's id."""
+def key_of(id_col: str, text_col: str):
+    """Equal for equal texts, another for each null text's id."""
     alone = F.concat(F.lit("null text of "), F.coalesce(F.col(id_col).cast("string"), F.lit("no id")))
-    return docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.concat(F.lit("text "), F.col(text_col)), alone).cast("binary"))))
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("text "), F.col(text_col)), alone).cast("binary")))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(__key, label) of all keys, and docs with __key."""
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, label) of all keys. docs: id, key, text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = keyed(docs, id_col, text_col)
-    idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
+    idf = spark.sparkContext.broadcast(idf_of_words(docs, "text"))
     bands, columns = _BAND_COLUMNS, [*_BAND_COLUMNS, *_SIGN_COLUMNS]
-    drawn = docs.select(id_col, "__key", text_col).mapInArrow(_sign(idf), f"id {kind}, key binary, {', '.join(f'{b} long' for b in columns)}")
+    drawn = docs.select("key", "text").mapInArrow(_sign(idf), f"key binary, {', '.join(f'{b} long' for b in columns)}")
     signed = checkpointed(drawn.where("b0 <> 0").groupBy("key").agg(*(F.first(b).alias(b) for b in columns)))
     rows = signed.select("key", F.posexplode(F.array(*bands)).alias("band", "part")).select("key", F.xxhash64("band", "part").alias("bucket"), "band")
     texts, links, degree, level, n = None, None, None, 0, None
@@ -352,14 +386,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             nodes = met.select("key").union(met.select(F.col("head").alias("key"))).distinct()
             nodes = checkpointed(sized(nodes, n))
             marks = checkpointed(sized(signed.join(nodes, "key", "left_semi"), n))
-            texts = docs.select(F.col("__key").alias("key"), F.col(text_col).alias("text")).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+            texts = docs.select("key", "text").join(nodes, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
             texts = checkpointed(sized(texts, n, 2_000))
-        pairs = sized(met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), n)
+        pairs = sized(met.select("head", F.col("key").alias("other")).distinct(), n)
         signs = marks.select("key", *_SIGN_COLUMNS)
-        likely = sized(pairs.join(signs.toDF("a", *(f"l{c}" for c in _SIGN_COLUMNS)), "a"), n).join(signs.toDF("b", *(f"r{c}" for c in _SIGN_COLUMNS)), "b")
-        likely = likely.select("a", "b", *(f"l{c}" for c in _SIGN_COLUMNS), *(f"r{c}" for c in _SIGN_COLUMNS)).mapInArrow(_likely(least_agreeing(similarity)), "a binary, b binary")
-        left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-        tested = sized(sized(likely, n).join(left, "a"), n, 2_000).join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf), "a binary, b binary, similarity double")
+        left, right = ([f"{x}{c}" for c in _SIGN_COLUMNS] for x in "lr")
+        likely = sized(pairs.join(signs.toDF("head", *left), "head"), n).join(signs.toDF("other", *right), "other")
+        likely = likely.select("head", "other", *left, *right).mapInArrow(_likely(least_agreeing(similarity)), "head binary, other binary")
+        likely = checkpointed(sized(likely, n))
+        tested = with_texts(likely, texts, n).mapInArrow(_verify(idf), "a binary, b binary, similarity double")
+        tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
         found = checkpointed(sized(tested.where(F.col("similarity") >= similarity).select("a", "b"), n, 2_000))
         links = found if links is None else links.union(found)
         degree = checkpointed(sized(links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("degree")), n))
@@ -374,32 +410,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             break
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary")
-    label = components(links)
-    keys = docs.select("__key").distinct().join(label.toDF("__key", "label"), "__key", "left")
-    return keys.select("__key", F.coalesce("label", "__key").alias("label")), docs
+    keys = docs.select("key").distinct().join(components(links).toDF("key", "label"), "key", "left")
+    return keys.select("key", F.coalesce("label", "key").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least doc_id of its class), kept (doc_id is class_id)."""
-    label, docs = classes(docs, id_col, text_col, similarity=similarity)
-    ids = docs.groupBy("__key").agg(F.min(id_col).alias("least")).join(label, "__key")
-    named = checkpointed(ids.select("__key", "label", "least"))
+    rows = docs.select(F.col(id_col).alias("id"), key_of(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    label = classes(rows, similarity=similarity)
+    ids = rows.groupBy("key").agg(F.min("id").alias("least")).join(label, "key")
+    named = checkpointed(ids.select("key", "label", "least"))
     by_label = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_key = named.join(by_label, "label").select("__key", "class_id")
-    got = docs.select("__key", F.col(id_col).alias("doc_id")).join(of_key, "__key")
+    of_key = named.join(by_label, "label").select("key", "class_id")
+    got = rows.select("key", F.col("id").alias("doc_id")).join(of_key, "key")
     return got.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
     """docs, with one row of each class left: that of the least doc_id."""
-    columns = docs.columns
-    label, docs = classes(docs, id_col, text_col, similarity=similarity)
-    rows = docs.groupBy("__key", id_col).agg(F.count(F.lit(1)).alias("n")).join(label, "__key")
-    best = rows.groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"), "n")).alias("x"))
-    best = best.select(F.col("x.key").alias("__key"), F.col("x.id").alias("__id"), F.col("x.n").alias("__n"))
-    kept = docs.join(best, (docs["__key"] == best["__key"]) & docs[id_col].eqNullSafe(best["__id"])).drop(best["__key"])
-    once = kept.where("__n = 1").select(columns)
-    return once.union(kept.where("__n > 1").dropDuplicates(["__key"]).select(columns))
+    rows = docs.select(F.col(id_col).alias("id"), key_of(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    label = classes(rows, similarity=similarity)
+    counted = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).join(label, "key")
+    best = counted.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("x"))
+    best = best.select("x.key", "x.id", "x.n").alias("best")
+    key = free_name("__key", docs.columns)
+    keyed = docs.withColumn(key, key_of(id_col, text_col)).alias("docs")
+    same = (F.col(f"docs.`{key}`") == F.col("best.key")) & F.col(f"docs.`{id_col}`").eqNullSafe(F.col("best.id"))
+    columns = [F.col(f"docs.`{c}`") for c in docs.columns]
+    once = keyed.join(best.where("n = 1"), same).select(columns)
+    again = keyed.join(best.where("n > 1"), same).select(*columns, F.col(f"docs.`{key}`")).dropDuplicates([key]).drop(key)
+    return once.union(again)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

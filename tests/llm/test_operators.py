@@ -121,7 +121,7 @@ def test_near_duplicates(spark, odd, none):
     assert all(len(v) == 1 for v in of.values()) and len(rows) == docs.count()
     assert of[103] == of[150] == of[190] == {103} and of[200] == {200}
     assert of[9] == {8} and of[4] == {4} and of[5] == {5} and of[6] == {6} and of[None] == {2}
-    idf = N.idf_table(docs, "text")
+    idf = N.idf_of_words(docs, "text")
     texts = [(r.doc_id, r.text) for r in docs.collect() if r.text]
     for (a, x), (b, y) in combinations(texts, 2):
         if x == y or N.similarities([x.encode()], [y.encode()], idf)[0] >= 0.8:
@@ -142,7 +142,7 @@ def test_hub_and_spoke_groups_are_whole(spark, spokes):
             w[i] = f"edit{k}x{j}"
         copies.append(" ".join(w))
     docs = spark.createDataFrame([(k, t, "en", 0) for k, t in enumerate([*copies, " ".join(base)])], SCHEMA)
-    idf, hub = N.idf_table(docs, "text"), " ".join(base).encode()
+    idf, hub = N.idf_of_words(docs, "text"), " ".join(base).encode()
     texts = [t.encode() for t in copies]
     assert N.similarities([hub] * spokes, texts, idf).min() >= 0.8 > np.median(N.similarities(texts[1:], texts[:-1], idf))
     assert {r.class_id for r in N.near_duplicates(docs).collect()} == {0}
@@ -165,7 +165,7 @@ def test_pairs_planted_in_a_large_template_group_are_found(spark):
         planted[1000 + k] = " ".join(w)
     texts = {**dict(enumerate(rows)), **planted}
     docs = spark.createDataFrame([(k, t, "en", 0) for k, t in texts.items()], SCHEMA)
-    idf, of = N.idf_table(docs, "text"), {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    idf, of = N.idf_of_words(docs, "text"), {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
     among = N.similarities([rows[0].encode()] * 299, [t.encode() for t in rows[1:]], idf)
     assert 0.65 < np.median(among) < 0.8
     near = N.similarities([rows[k - 1000].encode() for k in planted], [t.encode() for t in planted.values()], idf)
@@ -189,10 +189,10 @@ def test_few_pairs_at_the_threshold_are_left_unverified(similarity):
 def test_samples_agree_as_often_as_the_weights():
     a, b = prose(400, 30).split(), prose(400, 31).split()
     x, y = " ".join(a).encode(), " ".join(a[:300] + b[:100]).encode()
-    idf = np.ones(N._SLOTS, np.float32)
+    idf = N.NO_IDF
     true = N.similarities([x], [y], idf)[0]
-    doc, h, tf = N.shingles([x, y])
-    _, signs = N.samples(doc, h, (1 + np.log(tf)).astype(float), 2)
+    doc, h, tf = N.shingles([x, y], idf)
+    _, signs = N.samples(doc, h, N.weights(h, tf), 2)
     assert abs((signs[0] == signs[1]).mean() - true) < 0.22
 
 
@@ -561,3 +561,58 @@ def test_licenses_with_words_between():
         assert [(x[1], x[5]) for x in L.Scanner().scan([text.encode()])] == [("mit", 1.0)]
     twice = " ".join([*mit, *mit, "x", *mit])
     assert [x[1] for x in L.Scanner().scan([twice.encode()])] == ["mit"] * 3
+
+
+class PlainWeights:
+    """Weighted Jaccard similarity from its definition: words as strings, document frequencies by counting."""
+
+    def __init__(self, texts):
+        self.texts = {k: split(t) for k, t in texts.items()}
+        n = len(texts)
+        df = Counter(w for ws in self.texts.values() for w in set(ws))
+        top = np.log(1 + min(n, N.RARE))
+        code = {w: round(255 * max(0.0, min(1.0, float(np.log((1 + n) / (1 + k)) / top)))) if k * N.RARE >= n else 255 for w, k in df.items()}
+        self.bags, self.total, self.holders = {}, {}, defaultdict(set)
+        for k, ws in self.texts.items():
+            runs = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else Counter([tuple(ws)] if ws else [])
+            self.bags[k] = {s: (1 + float(np.log(c))) * (N.LEAST_IDF + (1 - N.LEAST_IDF) * (sum(code[w] for w in s) // len(s)) / 255) for s, c in runs.items()}
+            self.total[k] = sum(self.bags[k].values())
+            for s in runs:
+                self.holders[s].add(k)
+
+    def links(self, k):
+        """The other texts at SIMILARITY or more: all that share a shingle are compared."""
+        shared = Counter()
+        for s, w in self.bags[k].items():
+            for o in self.holders[s]:
+                shared[o] += min(w, self.bags[o][s])
+        return {o for o, x in shared.items() if o != k and x / (self.total[k] + self.total[o] - x) >= N.SIMILARITY + 1e-9}
+
+
+def test_no_links_are_lost_near_the_threshold(spark):
+    texts = {}
+    for g in range(60):
+        base = split(prose(200, 5000 + g))
+        for k in range(30):
+            r = random.Random(g * 100 + k)
+            w = list(base)
+            for i in r.sample(range(200), r.randint(2, 4)):
+                w[i] = r.choice(WORDS)
+            texts[g * 30 + k] = " ".join(w)
+    plain = PlainWeights(texts)
+    of = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame([(k, t, "en", 0) for k, t in texts.items()], SCHEMA)).collect()}
+    pairs = [(a, b) for a in texts for b in plain.links(a) if a < b]
+    lost = sum(of[a] != of[b] for a, b in pairs)
+    assert len(pairs) > 2000 and lost <= 0.001 * len(pairs), (lost, len(pairs))
+    for a, c in of.items():  # and a class holds no text without a link
+        assert a // 30 == c // 30
+
+
+def test_near_duplicates_of_the_tables(spark):
+    """Every row whose id is divisible by 20 against all rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    plain = PlainWeights({r.doc_id: r.text for r in rows})
+    of = {r.doc_id: r.class_id for r in QUERIES["op3_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    pairs = [(a, b) for a in of if a % 20 == 0 for b in plain.links(a)]
+    assert pairs and all(of[a] == of[b] for a, b in pairs)
+    assert all(plain.links(a) for a, c in of.items() if a != c)
