@@ -3,17 +3,21 @@
 A linear model over the presence of words is trained in numpy from confirmed toxic texts (P) and unlabelled ones (U), whose
 labels it never sees, by the non-negative risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic
 loss l; where the bracket turns negative, its gradient is stepped back. pi, the class prior, is the toxic share of the
-labelled rows. The scores' scale comes from cross-fitting: each of three folds is scored by a model of the other two, and the
-logit that parts its labelled rows best is put at THRESHOLD. Rows whose crc32(doc_id as text) mod 4 is HELD_OUT lend neither labels
-nor text to the training.
+labelled rows. The risk alone decides on the weights, and so on the order of the scores. Their scale comes from cross-fitting: each of three folds
+is scored by a model of the other two, and the logit that parts its labelled rows best is put at THRESHOLD. Labelled rows set that one
+number, since the cut that the PU risk implies moves with pi, and the share among labelled rows need not be that among all. Rows whose
+crc32(doc_id as text) mod 4 is HELD_OUT lend neither labels nor text to the training.
 
-The fit uses bounded samples, drawn by hash: POSITIVES, LABELLED and UNLABELLED rows at most; features are words found
-in LEAST_DF toxic texts at least. Every text is scored whole, in one map.
+Features are the words found in LEAST_DF toxic texts at least (the VOCABULARY most frequent) that are more frequent there than among all
+documents; their frequencies are counted over all held-in documents in one pass. The gradient uses samples drawn by hash: POSITIVES
+and LABELLED labelled rows and about UNLABELLED unlabelled ones at most, of which only feature numbers reach the driver.
+Every text is scored whole, in one map.
 
 Words are runs of letters and digits (and of all bytes beyond ASCII), ASCII letters in lower case. Defined results: null and
 empty texts get the score of a text without a known word; null ids are held in and returned as null; a label without 0 or 1
-or without a doc_id is passed over, of repeated labels the largest holds; without toxic labels, or texts for them, all scores are 0; repeated rows
-get equal scores; an empty table gives an empty result; extra columns play no part.
+or without a doc_id is passed over, of repeated labels the largest holds, of repeated ids the least text is the labelled one; without toxic
+labels, or texts for them, all scores are 0; repeated rows get equal scores; texts of any length are read whole; an empty table gives an empty
+result; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, chunks, table, texts_of
+from .common import Words, bounded_batches, checkpointed, chunks, table, texts_of
 
-POSITIVES, LABELLED, UNLABELLED = 6_000, 12_000, 18_000
+POSITIVES, LABELLED, UNLABELLED, VOCABULARY = 6_000, 12_000, 18_000, 50_000
 THRESHOLD, HELD_OUT, FOLDS = 0.3, 2, (0, 1, 3)
 LEAST_DF, SHRINK, LEAST_LIFT = 3, 2.0, 0.5
 ROUNDS, MOMENTUM, DECAY = 150, 0.9, 1e-5
@@ -40,29 +44,91 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return w.docs(), w.hashes(_FOLD)
 
 
-def _features(batches):
+def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text's index and hash of each distinct word of each text."""
+    doc, h = word_hashes(texts)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[first], h[first]
+
+
+def _words_in(batches):
+    """(word, n): texts of a batch that hold the word."""
     for batch in batches:
-        texts = texts_of(batch.column(2))
-        out = []
+        texts = texts_of(batch.column(0))
         for a, b in chunks(texts):
-            doc, h = word_hashes(texts[a:b])
-            at = np.searchsorted(doc, np.arange(b - a + 1))
-            out += [np.unique(h[at[k] : at[k + 1]]).tobytes() for k in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["mod", "part", "words"])
+            word, n = np.unique(distinct_words(texts[a:b])[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+class Known:
+    """Places of hashes in a sorted vocabulary."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and their places."""
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)]) if len(self.vocabulary) else np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(self.vocabulary, h[at]), max(len(self.vocabulary) - 1, 0))
+        same = np.flatnonzero(self.vocabulary[i] == h[at]) if len(at) else at
+        return at[same], i[same]
+
+    def presence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Text's index and place of each known word of each text, once."""
+        doc, h = word_hashes(texts)
+        at, i = self.find(h)
+        width = max(len(self.vocabulary), 1)
+        one = np.unique(doc[at] * width + i)
+        return one // width, one % width
+
+
+def _count_known(vocabulary):
+    """(place, n): texts of a task that hold the word of the vocabulary; place -1 stands for all texts."""
+
+    def run(batches):
+        known, texts_seen = Known(vocabulary.value), 0
+        counts = np.zeros(len(vocabulary.value), np.int64)
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            texts_seen += len(texts)
+            for a, b in chunks(texts):
+                counts += np.bincount(known.presence(texts[a:b])[1], minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(texts_seen, counts[some]))], ["place", "n"])
+
+    return run
+
+
+def _features(vocabulary):
+    def run(batches):
+        known = Known(vocabulary.value)
+        for batch in batches:
+            texts = texts_of(batch.column(2))
+            out = []
+            for a, b in chunks(texts):
+                doc, i = known.presence(texts[a:b])
+                at = np.searchsorted(doc, np.arange(b - a + 1))
+                out += [i[at[k] : at[k + 1]].astype(np.int32).tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["mod", "part", "places"])
+
+    return run
 
 
 class Sparse:
-    """Rows of feature values."""
-
-    def __init__(self, rows: list[np.ndarray], vocabulary: np.ndarray, value: np.ndarray):
-        got = []
-        for r in rows:
-            i = np.minimum(np.searchsorted(vocabulary, r), max(len(vocabulary) - 1, 0))
-            got.append(i[vocabulary[i] == r] if len(vocabulary) else i[:0])
-        self.row = np.repeat(np.arange(len(rows)), [len(x) for x in got])
-        self.feature = np.concatenate(got) if got else np.zeros(0, np.int64)
+    """Rows of feature values. rows: the places of each row's features; value: of each feature."""
+
+    def __init__(self, rows: list[np.ndarray], value: np.ndarray):
+        self.row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        self.feature = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        use = value[self.feature] != 0
+        self.row, self.feature = self.row[use], self.feature[use]
         self.value = value[self.feature]
-        self.n, self.width = len(rows), len(vocabulary)
+        self.n, self.width = len(rows), len(value)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.feature] * self.value, self.n)
@@ -76,26 +142,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _df(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def risk(p: Sparse, u: Sparse, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * E_P[l(g)] and the bracket E_U[l(-g)] - prior * E_P[l(-g)], with the gradient of each (bias last)."""
+    zp, zu = p.times(w) + b, u.times(w) + b
+    gp, gu = _sigmoid(zp), _sigmoid(zu)
+    positive = prior * np.mean(np.logaddexp(0, -zp))
+    bracket = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp)) if u.n else -prior * np.mean(np.logaddexp(0, zp))
+    return float(positive), float(bracket), prior * p.gradient((gp - 1) / p.n), u.gradient(gu / max(u.n, 1)) - prior * p.gradient(gp / p.n)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(vocabulary, weights, bias) of the least non-negative risk, by gradient descent with momentum.
+def lifts(in_toxic: np.ndarray, toxic: int, in_all: np.ndarray, all_: int) -> np.ndarray:
+    """How much more often, as a logarithm, each word stands in toxic texts than in all, shrunk towards 0; 0 for those that are no feature."""
+    q = (in_all + 0.5) / (all_ + 1)
+    lift = np.log((in_toxic + SHRINK * q) / (toxic + SHRINK) / q)
+    return np.where((in_toxic >= LEAST_DF) & (lift > LEAST_LIFT), lift, 0.0)
 
-    A feature's value is the logarithm of how much more often it stands in P than in U, shrunk towards 0; what is not
-    more frequent in P is no feature."""
-    words, df = _df(positive)
-    words, df = words[df >= LEAST_DF], df[df >= LEAST_DF]
-    all_words, all_df = _df(unlabelled)
-    i = np.minimum(np.searchsorted(all_words, words), max(len(all_words) - 1, 0))
-    other = np.where(all_words[i] == words, all_df[i], 0) if len(all_words) else np.zeros(len(words))
-    q = (other + 0.5) / (len(unlabelled) + 1)
-    lift = np.log((df + SHRINK * q) / (len(positive) + SHRINK) / q)
-    use = lift > LEAST_LIFT
-    vocabulary, lift = words[use], lift[use]
-    p, u = Sparse(positive, vocabulary, lift), Sparse(unlabelled, vocabulary, lift)
-    w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], df: np.ndarray, documents: int, prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the least non-negative risk, by gradient descent with momentum. Rows are places of known words; df
+    counts the documents of each word among all documents. A feature's value is its lift."""
+    in_toxic = np.bincount(np.concatenate(positive), minlength=len(df)) if positive else np.zeros(len(df), np.int64)
+    value = lifts(in_toxic, len(positive), df, documents)
+    p, u = Sparse(positive, value), Sparse(unlabelled, value)
+    w, b = np.zeros(len(value)), float(np.log(prior / (1 - prior)))
     x = np.ones(len(w) + 1)
     for _ in range(8):  # the largest curvature, by power iteration
         x /= np.linalg.norm(x) or 1.0
@@ -103,18 +172,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         x, most = top, np.linalg.norm(top)
     rate, speed = 1 / (0.25 * most + DECAY), np.zeros(len(w) + 1)
     for _ in range(ROUNDS):
-        gp, gu = _sigmoid(p.times(w) + b), _sigmoid(u.times(w) + b)
-        negative = -np.mean(np.log1p(-np.minimum(gu, 1 - 1e-12))) + prior * np.mean(np.log1p(-np.minimum(gp, 1 - 1e-12)))
-        away = u.gradient(gu / max(u.n, 1)) - prior * p.gradient(gp / p.n)
-        g = prior * p.gradient((gp - 1) / p.n) + away if negative >= 0 else -away
+        _, bracket, toward, away = risk(p, u, w, b, prior)
+        g = toward + away if bracket >= 0 else -away
         g[:-1] += DECAY * w
         speed = MOMENTUM * speed - rate * g
         w, b = w + speed[:-1], b + speed[-1]
-    return vocabulary, w * lift, b
+    return w * value, b
 
 
-def logits(rows: list[np.ndarray], vocabulary: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    return Sparse(rows, vocabulary, w).times(np.ones(len(w))) + b
+def logits(rows: list[np.ndarray], w: np.ndarray, b: float) -> np.ndarray:
+    return Sparse(rows, np.ones(len(w))).times(w) + b
 
 
 def best_cut(found: np.ndarray, toxic: np.ndarray) -> float:
@@ -132,57 +199,66 @@ def _mod(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)), F.lit(4)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, float, float, float] | None:
-    """(vocabulary, weights, bias, cut, scale); None without a toxic label."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (_mod(id_col) != HELD_OUT)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
-    known = known.withColumn("__o", F.xxhash64("__id"))
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum("__toxic")).first()
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, float] | None:
+    """(vocabulary, weights, bias, cut, scale); None without a toxic label. docs: id, text; labels: id, toxic."""
+    spark = docs.sparkSession
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & (_mod("id") != HELD_OUT)).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("o", F.xxhash64("id"))
+    n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not toxic:
         return None
     prior = min(0.95, toxic / n)
-    some = known.where("__toxic = 1").orderBy("__o", "__id").limit(POSITIVES).withColumn("__part", F.lit("p")).union(known.where("__toxic = 0").orderBy("__o", "__id").limit(LABELLED).withColumn("__part", F.lit("n")))
-    held_in = docs.where(_mod(id_col) != HELD_OUT).select(_mod(id_col).alias("mod"), F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    share = min(1.0, UNLABELLED / max(1, held_in.select("mod").count()))
-    drawn = held_in.where(F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000)).select("mod", F.lit("u").alias("part"), "text")
-    joined = held_in.join(F.broadcast(some.select("__id", "__part")), "__id").select("mod", F.col("__part").alias("part"), "text")  # POSITIVES + LABELLED ids at most
-    rows = joined.union(drawn).mapInArrow(_features, "mod int, part string, words binary").collect()
+    first = lambda label, most, part: known.where(F.col("toxic") == label).orderBy("o", "id").limit(most).select("id", F.lit(part).alias("part"))
+    some = first(1, POSITIVES, "p").union(first(0, LABELLED, "n"))
+    held_in = docs.where(_mod("id") != HELD_OUT).select(_mod("id").alias("mod"), "id", "text")
+    labelled = checkpointed(held_in.join(F.broadcast(some), "id").groupBy("id", "mod", "part").agg(F.min("text").alias("text")))  # POSITIVES + LABELLED rows at most
+    frequent = labelled.where("part = 'p'").select("text").mapInArrow(_words_in, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DF)
+    words = [r.word for r in frequent.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").collect()]  # VOCABULARY rows at most
+    vocabulary = np.sort(np.array(words, np.int64).view(np.uint64))
+    held = spark.sparkContext.broadcast(vocabulary)
+    counts = held_in.select("text").mapInArrow(_count_known(held), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, count = counts["place"].to_numpy(), counts["n"].to_numpy()
+    documents, df = int(count[place < 0].sum()), np.zeros(len(vocabulary), np.int64)
+    df[place[place >= 0]] = count[place >= 0]
+    steps = 1 << 40
+    share = min(steps, int(steps * min(1.0, UNLABELLED / max(1, documents))))
+    mark = F.xxhash64(F.lit(8), "id", "text")
+    drawn = held_in.withColumn("h", mark).where(F.pmod("h", F.lit(steps)) < share).dropDuplicates(["h"]).select("mod", F.lit("u").alias("part"), "text")
+    rows = labelled.select("mod", "part", "text").union(drawn).mapInArrow(_features(held), "mod int, part string, places binary").collect()
     by = {k: [] for k in "pnu"}
-    for r in sorted(rows, key=lambda r: (r.part, r.mod, bytes(r.words))):
-        by[r.part].append((r.mod, np.frombuffer(bytes(r.words), np.uint64)))
+    for r in sorted(rows, key=lambda r: (r.part, r.mod, bytes(r.places))):
+        by[r.part].append((r.mod, np.frombuffer(bytes(r.places), np.int32)))
     if not by["p"]:
         return None
     got, truth = [], []
     for fold in FOLDS if len({m for m, _ in by["p"]}) > 1 else FOLDS[:0]:
-        model = fit([x for m, x in by["p"] if m != fold], [x for m, x in by["u"] if m != fold], prior)
+        model = fit([x for m, x in by["p"] if m != fold], [x for m, x in by["u"] if m != fold], df, documents, prior)
         for part, y in (("p", 1), ("n", 0)):
             mine = [x for m, x in by[part] if m == fold]
             got.append(logits(mine, *model))
             truth.append(np.full(len(mine), y))
-    final = fit([x for _, x in by["p"]], [x for _, x in by["u"]], prior)
+    final = fit([x for _, x in by["p"]], [x for _, x in by["u"]], df, documents, prior)
     if not got:  # too few toxic texts to leave a fold out: the model's own rows set the cut
         got, truth = [logits([x for _, x in by[part]], *final) for part in "pn"], [np.full(len(by[part]), y) for part, y in (("p", 1), ("n", 0))]
     g, truth = np.concatenate(got), np.concatenate(truth)
-    return *final, best_cut(g, truth), max(float(np.std(g)), 1e-3)
+    return vocabulary, *final, best_cut(g, truth), max(float(np.std(g)), 1e-3)
 
 
 def _score(model):
     def run(batches):
         vocabulary, w, b, cut, scale = model.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(vocabulary >> np.uint64(42)).astype(np.int64)] = True
+        use = w != 0
+        known, w = Known(vocabulary[use]), w[use]
         for batch in batches:
             texts = texts_of(batch.column(2))
-            out = []
+            out = [np.zeros(0)]
             for x, y in chunks(texts):
-                doc, h = word_hashes(texts[x:y])
-                at = np.flatnonzero(maybe[(h >> np.uint64(42)).astype(np.int64)])
-                i = np.minimum(np.searchsorted(vocabulary, h[at]), max(len(vocabulary) - 1, 0))
-                at, i = (at[same], i[same]) if len(vocabulary) and len(same := np.flatnonzero(vocabulary[i] == h[at])) else (at[:0], i[:0])
-                one = np.unique(doc[at] * len(vocabulary) + i) if len(at) else np.zeros(0, np.int64)
-                g = np.bincount(one // max(len(vocabulary), 1), w[one % max(len(vocabulary), 1)], y - x) + b if len(one) else np.full(y - x, b)
+                doc, i = known.presence(texts[x:y])
+                g = np.bincount(doc, w[i], y - x) + b
                 out.append(_sigmoid((g - cut) / scale + np.log(THRESHOLD / (1 - THRESHOLD))))
-            score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            score = np.concatenate(out)
+            predicted = pa.array((score >= THRESHOLD).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), predicted], ["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -191,8 +267,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD) of each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = train(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (_mod(id_col) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = train(texts, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")))
+    rows = texts.select(F.col("id").alias("doc_id"), (_mod("id") == HELD_OUT).alias("held_out"), "text")
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     kind = docs.schema[id_col].dataType.simpleString()

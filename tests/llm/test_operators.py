@@ -616,3 +616,38 @@ def test_near_duplicates_of_the_tables(spark):
     pairs = [(a, b) for a in of if a % 20 == 0 for b in plain.links(a)]
     assert pairs and all(of[a] == of[b] for a, b in pairs)
     assert all(plain.links(a) for a, c in of.items() if a != c)
+
+
+@pytest.mark.parametrize("bias", [-3.0, 0.5])
+def test_the_risk_and_its_gradient(bias):
+    """Against the definition, by finite differences; at the larger bias the bracket is positive, at the smaller one negative."""
+    r = np.random.default_rng(4)
+    rows = lambda n: [np.flatnonzero(r.random(12) < 0.3).astype(np.int32) for _ in range(n)]
+    value, w, prior = r.random(12) + 0.1, r.normal(size=12), 0.4 if bias < 0 else 0.1
+    p, u = T.Sparse(rows(30), value), T.Sparse(rows(50) if bias > 0 else rows(20), value)
+    if bias < 0:
+        w = np.where(np.arange(12) < 6, 4.0, -1.0)
+
+    def plain(w, b):
+        l = lambda z: np.log1p(np.exp(-z))  # noqa: E731, E741
+        dense = lambda s: np.array([[value[j] if ((s.row == i) & (s.feature == j)).any() else 0 for j in range(12)] for i in range(s.n)]) @ w + b
+        gp, gu = dense(p), dense(u)
+        return prior * l(gp).mean(), l(-gu).mean() - prior * l(-gp).mean()
+
+    positive, bracket, toward, away = T.risk(p, u, w, bias, prior)
+    assert np.allclose((positive, bracket), plain(w, bias))
+    for k in range(13):
+        step = np.zeros(13)
+        step[k] = 1e-5
+        hi, lo = plain(w + step[:-1], bias + step[-1]), plain(w - step[:-1], bias - step[-1])
+        assert np.allclose([(x - y) / 2e-5 for x, y in zip(hi, lo, strict=True)], [toward[k], away[k]], atol=1e-6)
+
+
+def test_toxicity_counts_words_over_all_documents(spark):
+    """A word of the toxic texts that most other documents have is no feature, however few rows the gradient draws."""
+    rows = [(i, f"{'vile ' if i < 40 else ''}common filler w{i}") for i in range(400)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 40)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    vocabulary, w, *_ = T.train(d.toDF("id", "text"), lab.toDF("id", "toxic"))
+    of = dict(zip(vocabulary.tolist(), w.tolist(), strict=True))
+    h = dict(zip(("vile", "common", "filler"), T.word_hashes([b"vile common filler"])[1].tolist(), strict=True))
+    assert of[h["vile"]] > 0 and of.get(h["common"], 0) == 0 == of.get(h["filler"], 0)
