@@ -2,8 +2,9 @@
 
 Texts are tokenised, end with one end id, and only those longer than ``capacity`` are cut. The histogram of piece lengths
 (``capacity`` rows at most, whatever the input) goes to the driver, which plans in whole multiplicities: for each length,
-longest first, it looks up its gap among single lengths, sums of pairs and sums of triples, and consumes combinations that
-fill the gap exactly as often as the counts allow; what is left is packed by best fit, longest first. A plan is a list of
+longest first, it looks up its gap among single lengths and in an index of the sums of pairs and triples, and consumes
+combinations that fill the gap exactly as often as the counts allow; what is left is packed by best fit, longest first. The
+index holds each pair of lengths once, by its sum, and is read on from where the counts have run out. A plan is a list of
 runs (length, first rank, count, pieces a sequence, first sequence, place); its size follows from the lengths, not the rows.
 
 Pieces of one length are ranked without a gap by counts over (length, salt), so that a length which holds a third of all
@@ -13,7 +14,8 @@ Tokens: white-space-parted chunks never share a token, so each distinct chunk is
 and Latin-1 letters go to the model directly, all others through the whole tokenizer. The cache is bounded.
 
 Defined results: a null or empty text is its end id alone; null ids are returned as null; repeated rows are packed each
-for itself; an empty table gives an empty result; extra columns of documents play no part.
+for itself; texts of any length are packed whole; an empty table gives an empty result; extra columns of documents play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, checkpointed, chunks, longs_of, shuffle_partitions, table, texts_of
+from .common import Words, bounded_batches, checkpointed, chunks, shuffle_partitions, table, texts_of
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -132,6 +134,62 @@ def _pieces(path: str, capacity: int, end: int, want_ids: bool):
     return run
 
 
+class Sums:
+    """An index of length sums: by each sum the pairs, and by pairs the triples, that have it, longest first. Counts only fall, so a
+    combination that has run out is never looked at again: each sum keeps the place up to which its list is used up."""
+
+    def __init__(self, left: np.ndarray, most: int):
+        self.left = left
+        lengths = np.flatnonzero(left[: most + 1])
+        i, j = np.triu_indices(len(lengths))
+        small, large = lengths[i], lengths[j]
+        fits = small + large <= most
+        small, large = small[fits], large[fits]
+        order = np.lexsort((-large, small + large))
+        self.larger = large[order]
+        self.edge = np.searchsorted((small + large)[order], np.arange(most + 2))
+        self.at = self.edge[:-1].copy()
+        self.lengths = lengths[::-1]  # longest first
+        self.third = np.zeros(most + 1, np.int64)  # by sum: how many of the lengths have no pair left
+
+    def pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """A pair with this sum that is to be had, none longer than ``longest``."""
+        while self.at[total] < self.edge[total + 1]:
+            a = int(self.larger[self.at[total]])
+            b = total - a
+            if a <= longest and self.left[a] > 0 and self.left[b] > (a == b):
+                return a, b
+            self.at[total] += 1
+        return None
+
+    def triple(self, total: int, longest: int) -> tuple[int, int, int] | None:
+        """A triple with this sum that is to be had, its first the longest."""
+        while self.third[total] < len(self.lengths):
+            a = int(self.lengths[self.third[total]])
+            if 3 * a < total:
+                return None
+            if a <= longest and a < total and self.left[a] > 0:
+                self.left[a] -= 1
+                rest = self._pair_up_to(total - a, a)
+                self.left[a] += 1
+                if rest:
+                    return a, *rest
+            self.third[total] += 1
+        return None
+
+    def _pair_up_to(self, total: int, longest: int) -> tuple[int, int] | None:
+        """As pair, but pairs with a longer piece stay in the list: another first piece may take them."""
+        for k in range(self.at[total], self.edge[total + 1]):
+            a = int(self.larger[k])
+            b = total - a
+            if a <= longest and self.left[a] > 0 and self.left[b] > (a == b):
+                return a, b
+            gone = (a != longest and self.left[a] == 0) or (b != longest and self.left[b] == 0)  # of the first piece one is only lent
+            if gone and k == self.at[total]:
+                self.at[total] += 1
+        return None
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: pieces}, multiplicity) that use up the histogram."""
     left = np.zeros(capacity + 1, np.int64)
@@ -139,42 +197,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
         left[length] = k
     patterns: list[tuple[dict[int, int], int]] = []
 
-    def consume(*lengths: int) -> bool:
+    def consume(*lengths: int) -> None:
         need: dict[int, int] = {}
         for x in lengths:
             need[x] = need.get(x, 0) + 1
         m = min(int(left[x]) // k for x, k in need.items())
-        if m:
-            patterns.append((need, m))
-            for x, k in need.items():
-                left[x] -= k * m
-        return m > 0
-
-    def pairs(gap: int, most: int) -> np.ndarray:
-        """Larger halves a of the pairs (a, gap - a) that are to be had, a at most `most`, longest first."""
-        a = np.arange(min(gap - 1, most), (gap - 1) // 2, -1)
-        return a[(left[a] > 0) & (left[gap - a] > 0)]
-
-    consume(capacity)
+        patterns.append((need, m))
+        for x, k in need.items():
+            left[x] -= k * m
+
+    if left[capacity]:
+        consume(capacity)
+    sums = Sums(left, capacity - 1)
     for length in range(capacity - 1, 0, -1):
         gap = capacity - length
         while left[length]:
-            if consume(length, gap):
-                continue
-            if any(consume(length, a, gap - a) for a in pairs(gap, length).tolist()):
-                continue
-            most = min(gap - 2, length)
-            firsts = np.flatnonzero(left[: most + 1])[::-1] if most > 0 else []
-            for a in firsts:
-                if 3 * a < gap:
-                    firsts = []
-                    break
-                if any(consume(length, int(a), b, gap - int(a) - b) for b in pairs(gap - int(a), int(a)).tolist()):
-                    break
-            else:
-                break
-            if not len(firsts):
+            left[length] -= 1  # this piece is taken: what fills its gap must be there besides
+            single = (gap,) if gap <= length and left[gap] else None
+            found = single or sums.pair(gap, length) or sums.triple(gap, length)
+            left[length] += 1
+            if not found:
                 break
+            consume(length, *found)
     patterns += _best_fit(left, capacity)
     return patterns
 

@@ -651,3 +651,53 @@ def test_toxicity_counts_words_over_all_documents(spark):
     of = dict(zip(vocabulary.tolist(), w.tolist(), strict=True))
     h = dict(zip(("vile", "common", "filler"), T.word_hashes([b"vile common filler"])[1].tolist(), strict=True))
     assert of[h["vile"]] > 0 and of.get(h["common"], 0) == 0 == of.get(h["filler"], 0)
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all placements."""
+    lengths, best, room = sorted(lengths, reverse=True), [len(lengths)], []
+
+    def place(i):
+        if len(room) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(room)
+            return
+        for k in {r: k for k, r in enumerate(room) if r >= lengths[i]}.values():
+            room[k] -= lengths[i]
+            place(i + 1)
+            room[k] += lengths[i]
+        room.append(capacity - lengths[i])
+        place(i + 1)
+        room.pop()
+
+    place(0)
+    return best[0]
+
+
+def test_plans_against_the_optimum():
+    r, over = random.Random(1), Counter()
+    for _ in range(300):
+        capacity = r.choice([10, 20, 30])
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(1, 11))]
+        patterns = P.plan(dict(Counter(lengths)), capacity)
+        assert sum((Counter({k: n * m for k, n in c.items()}) for c, m in patterns), Counter()) == Counter(lengths)
+        over[sum(m for _, m in patterns) - fewest(lengths, capacity)] += 1
+    assert set(over) <= {0, 1} and over[1] <= 3
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_the_index_of_sums_misses_no_combination(seed):
+    r = random.Random(seed)
+    left = np.array([0] + [r.choice([0, 0, 1, 1, 2]) for _ in range(24)])
+    sums = P.Sums(left, 24)
+    for longest in range(24, 0, -3):  # it falls, as in a plan
+        for total in r.sample(range(1, 25), 12):
+            has = lambda *x: all(x.count(y) <= left[y] for y in x) and max(x) <= longest  # noqa: E731, B023
+            pairs = [(a, total - a) for a in range(1, total) if has(a, total - a)]
+            triples = [(a, b, total - a - b) for a in range(1, total) for b in range(1, total - a) if has(a, b, total - a - b)]
+            two, three = sums.pair(total, longest), sums.triple(total, longest)
+            assert bool(two) == bool(pairs) and (not two or (has(*two) and sum(two) == total))
+            assert bool(three) == bool(triples) and (not three or (has(*three) and sum(three) == total))
+        at = r.randrange(1, 25)
+        left[at] = max(0, left[at] - 1)
