@@ -1,16 +1,40 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corvane-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a local master, whose executors are the driver, gets one of its own;
+    a cluster is refused, since its executors would each write to their own disk."""
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder that spark.checkpoint.dir names; a local one is set only where none is."""
+    """df, materialised in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "corvane-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more, wherever the path leads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
