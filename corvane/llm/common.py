@@ -15,6 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.iterate import cut as checkpointed  # noqa: F401
+
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
@@ -38,23 +40,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (got.get() if got.isDefined() else None)
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def free_name(wanted: str, taken: list[str]) -> str:
     """A column name that none of those taken equals, capitals aside, as Spark compares them."""
     held = {c.lower() for c in taken}

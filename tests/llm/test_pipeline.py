@@ -29,3 +29,23 @@ def test_run_and_empty_input(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, repeats, a long text and columns named like those that operators add keep their values or go as the docstring says."""
+    import random
+
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefghijkl", k=r.randint(2, 8))) for _ in range(900)]
+    text = lambda k, n=60: " ".join(random.Random(k).choices(words, k=n))
+    rows = [(1, text(1), "a", 1, True), (1, text(1), "a", 1, True), (2, None, "b", 2, True), (3, "", "c", 3, None), (None, text(4), None, 5, False), (6, text(6, 20000), "f", 6, False), (7, text(6, 20000)[:300], "g", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, N_words int, kept boolean")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, DATA).write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
+        assert left.columns == docs.columns
+    got = {x.doc_id: x for x in left.collect()}
+    assert set(got) == {1, None, 6} and left.count() == 3
+    assert all((got[k].text, got[k].source, got[k].N_words, got[k].kept) == x for k, x in ((1, (text(1), "a", 1, True)), (None, (text(4), None, 5, False)), (6, (text(6, 20000), "f", 6, False))))
+    assert corpus_pipeline.STAGES[-1][1](spark, left, DATA).count() >= 3
