@@ -39,7 +39,7 @@ MISSED = 1e-6
 LEADERS, SIGN_BLOCK, TEXT_BLOCK = 3, 2_048, 256
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 _SIGN_COLUMNS = [f"s{i}" for i in range(BANDS * ROWS // 8)]
-PAIRS_A_TASK = 1_000
+PAIRS_A_TASK, _WORDS_HELD = 1_000, 1_000_000
 _BITS = 46
 _MASK, _CODE = U64((1 << _BITS) - 1), U64(0xFF)
 _rng = np.random.default_rng(1913)
@@ -114,14 +114,33 @@ def weights(h: np.ndarray, tf: np.ndarray) -> np.ndarray:
 
 
 def _documents_of_words(batches):
-    """(word, n): documents of a batch that hold the word; word 0 stands for all documents."""
+    """(word, n): documents that hold the word; word 0 stands for all documents. Sums go out whenever _WORDS_HELD words are held."""
+    words, counts, held = [], [], 0
+
+    def merged():
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        return word, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
     for batch in batches:
         texts = texts_of(batch.column(0))
         for a, b in chunks(texts):
             w = Words(texts[a:b])
-            h = np.unique((w.docs().astype(U64) << U64(_BITS)) | (w.hashes() & _MASK)) & _MASK
-            word, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(0, word.astype(np.int64))), pa.array(np.append(b - a, n))], ["word", "n"])
+            pair = np.sort(((w.hashes() & _MASK) << U64(64 - _BITS)) | w.docs().astype(U64))  # a batch has fewer than 2**18 rows
+            word = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]] >> U64(64 - _BITS)
+            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+            word, n = word[edge], np.diff(np.append(edge, len(word)))
+            words.append(np.append(0, word.astype(np.int64)))
+            counts.append(np.append(b - a, n))
+            held += len(n)
+            if held > _WORDS_HELD:
+                word, n = merged()
+                words, counts, held = [word], [n], len(n)
+                if held > _WORDS_HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+                    words, counts, held = [], [], 0
+    if words:
+        word, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
 
 def idf_of_words(docs: DataFrame, text_col: str) -> Idf:
@@ -175,7 +194,7 @@ def _sign(idf):
         for batch in batches:
             texts = texts_of(batch.column(1))
             keys, signs = [np.zeros((0, BANDS), U64)], [np.zeros((0, BANDS * ROWS), np.uint8)]
-            for a, b in chunks(texts, 2 << 20):
+            for a, b in chunks(texts, 512 << 10):  # what the draws work on stays in the cache
                 doc, h, tf = shingles(texts[a:b], idf.value)
                 key, sign = samples(doc, h, weights(h, tf), b - a)
                 keys.append(key)
