@@ -213,13 +213,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     held_in = docs.where(_mod("id") != HELD_OUT).select(_mod("id").alias("mod"), "id", "text")
     labelled = checkpointed(held_in.join(F.broadcast(some), "id").groupBy("id", "mod", "part").agg(F.min("text").alias("text")))  # POSITIVES + LABELLED rows at most
     frequent = labelled.where("part = 'p'").select("text").mapInArrow(_words_in, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DF)
-    words = [r.word for r in frequent.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").collect()]  # VOCABULARY rows at most
-    vocabulary = np.sort(np.array(words, np.int64).view(np.uint64))
+    frequent = frequent.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()  # VOCABULARY rows at most
+    words, in_toxic = frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
+    order = np.argsort(words)
+    vocabulary, in_toxic = words[order], in_toxic[order]
     held = spark.sparkContext.broadcast(vocabulary)
     counts = held_in.select("text").mapInArrow(_count_known(held), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, count = counts["place"].to_numpy(), counts["n"].to_numpy()
     documents, df = int(count[place < 0].sum()), np.zeros(len(vocabulary), np.int64)
     df[place[place >= 0]] = count[place >= 0]
+    use = lifts(in_toxic, labelled.where("part = 'p'").count(), df, documents) > 0
+    vocabulary, df = vocabulary[use], df[use]
+    held = spark.sparkContext.broadcast(vocabulary)
     steps = 1 << 40
     share = min(steps, int(steps * min(1.0, UNLABELLED / max(1, documents))))
     mark = F.xxhash64(F.lit(8), "id", "text")
