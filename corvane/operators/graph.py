@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from .iterate import cut
 
 
+def following(rows: DataFrame, order: str, value: str, *, by: str | None = None, step: int = 4096, levels: int = 2) -> DataFrame:
+    """rows with next: the value of the row after it in the order of a whole number (of its group `by`). Rows are ordered inside
+    cells of `step` numbers; only each cell's first value goes on, to be ordered alike, so that no task orders more than a cell and, at the
+    last level, the rows by step**levels."""
+    keys = [by] if by else []
+    if not levels:
+        return rows.withColumn("next", F.lead(value).over(Window.partitionBy(*keys).orderBy(order)))
+    celled = rows.withColumn("__cell", F.floor(F.col(order) / step))
+    inside = F.lead(value).over(Window.partitionBy(*keys, "__cell").orderBy(order))
+    first = celled.groupBy(*keys, F.col("__cell").alias("c")).agg(F.min_by(value, order).alias("v"))
+    after = following(first, "c", "v", by=by, step=step, levels=levels - 1).select(*keys, F.col("c").alias("__cell"), F.col("next").alias("__after"))
+    got = celled.withColumn("__in", inside).join(after, [*keys, "__cell"])
+    return got.withColumn("next", F.coalesce("__in", "__after")).drop("__cell", "__in", "__after")
+
+
 def adjacency(*edges: DataFrame) -> DataFrame:
     """The distinct edges of all tables, without self loops."""
     return reduce(DataFrame.union, (e.select("src", "dst") for e in edges)).where("src <> dst").distinct()
@@ -81,8 +96,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, round
     home = home.join(seeds.select("id", "share"), "id", "left").withColumn("share", F.coalesce("share", F.lit(0.0))) if seeds is not None else home.withColumn("share", F.lit(1.0 / n))
     base = home.join(degree, "id", "left")
     base = base.join(start.select("id", F.col("rank").alias("warm")), "id", "left") if start is not None else base.withColumn("warm", F.lit(None).cast("double"))
-    total = F.sum(F.coalesce("warm", F.lit(1.0 / n))).over(Window.partitionBy()) if start is not None else None
-    rank = F.coalesce("warm", F.lit(1.0 / n)) / total if start is not None else F.col("share") if seeds is not None else F.lit(1.0 / n)
+    rank = F.col("share") if seeds is not None else F.lit(1.0 / n)
+    if start is not None:
+        total = base.agg(F.sum(F.coalesce("warm", F.lit(1.0 / n))).alias("total"))  # one row
+        base = base.join(F.broadcast(total))
+        rank = F.coalesce("warm", F.lit(1.0 / n)) / F.col("total")
     base = cut(base.select("id", "share", "degree", rank.alias("rank")))
     fixed, now = base.select("id", "share", "degree"), base.select("id", "rank")
     for k in range(1, rounds + 1):

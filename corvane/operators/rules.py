@@ -124,20 +124,14 @@ def fold_confidence(events: DataFrame, key: str) -> DataFrame:
 
 
 def fold_sites(events: DataFrame, key: str) -> DataFrame:
-    """(key, epoch, status): an event log per site, in order; a revert after a fire opens the next epoch."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        epoch, status = 0, "unknown"
-        for kind in rows.sort_values(["at", "id"])["kind"]:
-            if kind == "fire":
-                status = "present"
-            elif kind == "revert":
-                epoch, status = epoch + (status == "present"), "changed"
-            elif kind == "delete":
-                status = "file_deleted"
-        return pd.DataFrame({key: [rows[key].iloc[0]], "epoch": [epoch], "status": [status]})
-
-    return events.groupBy(key).applyInPandas(run, f"{key} long, epoch long, status string")
+    """(key, epoch, status): an event log per site, in order; a revert after a fire opens the next epoch. events: key, at, id, kind
+    (fire, revert, delete; null changes nothing). Only the event before each is looked at, so no site is gathered."""
+    w = Window.partitionBy(key).orderBy("at", "id")
+    step = events.where("kind IS NOT NULL").withColumn("before", F.lag("kind").over(w))
+    reverts = F.count_if((F.col("kind") == "revert") & (F.col("before") == "fire"))
+    folded = step.groupBy(key).agg(reverts.alias("epoch"), F.max_by("kind", F.struct("at", "id")).alias("last"))
+    status = F.when(F.col("last") == "fire", "present").when(F.col("last") == "revert", "changed").when(F.col("last") == "delete", "file_deleted").otherwise("unknown")
+    return events.select(key).distinct().join(folded, key, "left").select(key, F.coalesce("epoch", F.lit(0)).alias("epoch"), status.alias("status"))
 
 
 def render(rows: Iterator[dict], columns: list[str]) -> str:

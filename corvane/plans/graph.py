@@ -14,16 +14,10 @@ _CHAIN = "SELECT c AS src, d AS dst FROM (SELECT c_custkey AS c, lead(c_custkey)
 
 
 def users(t: Tables) -> DataFrame:
-    """user -> the user of the next purchase or sign-up. The order is one of the whole log: events are numbered, so that the next one
-    is found by the number after it and not by a window over all rows."""
+    """user -> the user of the next purchase or sign-up. The order is one of the whole log."""
     e = t.events.where("event_type IN ('purchase', 'signup')").select("event_id", "user_id")
-    cell = F.floor(F.col("event_id") / 4096)
-    inside = F.lead("user_id").over(Window.partitionBy("cell").orderBy("event_id"))
-    first = e.groupBy(cell.alias("cell")).agg(F.min_by("user_id", "event_id").alias("first"))
-    first = first.select("cell", F.lead("first", -1).over(Window.orderBy("cell")).alias("before"), "first")  # a row for 4096 events
-    after = first.select((F.lead("cell", -1).over(Window.orderBy("cell"))).alias("cell"), "first")
-    rows = e.withColumn("cell", cell).withColumn("next", inside).join(after, "cell", "left").withColumn("dst", F.coalesce("next", "first"))
-    return rows.select(F.col("user_id").alias("src"), "dst").where("dst IS NOT NULL AND dst <> src").distinct()
+    rows = G.following(e, "event_id", "user_id")
+    return rows.select(F.col("user_id").alias("src"), F.col("next").alias("dst")).where("dst IS NOT NULL AND dst <> src").distinct()
 
 
 def chain(t: Tables) -> DataFrame:
@@ -65,20 +59,38 @@ def g6(t: Tables) -> DataFrame:
     return G.components_of_cycles(G.closure(chain(t)))
 
 
-def _rank_sql(rounds: int, damping: float, share: str) -> str:
-    parts = [f"e AS MATERIALIZED ({_USERS}), v AS MATERIALIZED (SELECT DISTINCT user_id AS id FROM events), n AS (SELECT count(*) AS n FROM v), s AS MATERIALIZED (SELECT id, {share} AS share FROM v, n), d AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1), r0 AS MATERIALIZED (SELECT id, share AS rank FROM s)"]
+def _rank_sql(rounds: int, damping: float, share: str, *, start: str = "share", tolerance: float | None = None, every: int = 4) -> str:
+    """Rounds as one query each; with a tolerance the result is that of the first of every so many rounds that moved no rank by as much."""
+    parts = [f"e AS MATERIALIZED ({_USERS}), v AS MATERIALIZED (SELECT DISTINCT user_id AS id FROM events), n AS (SELECT count(*) AS n FROM v)"]
+    parts.append(f"s AS MATERIALIZED (SELECT id, {share} AS share FROM v, n), d AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1)")
+    parts.append(f"r0 AS MATERIALIZED (SELECT id, {start} AS rank FROM s)")
     for k in range(rounds):
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s.id, {1 - damping!r} * share + {damping!r} * (coalesce(got, 0) + coalesce(loose, 0) * share) AS rank FROM s LEFT JOIN (SELECT dst, sum(rank / d.d) AS got FROM e JOIN d USING (src) JOIN r{k} ON id = src GROUP BY 1) ON dst = s.id, (SELECT sum(rank) AS loose FROM r{k} WHERE id NOT IN (SELECT src FROM d)))")
-    return "WITH " + ", ".join(parts) + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+        got = f"SELECT dst, sum(rank / d.d) AS got FROM e JOIN d USING (src) JOIN r{k} ON id = src GROUP BY 1"
+        loose = f"SELECT sum(rank) AS loose FROM r{k} WHERE id NOT IN (SELECT src FROM d)"
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s.id, {1 - damping!r} * share + {damping!r} * (coalesce(got, 0) + coalesce(loose, 0) * share) AS rank FROM s LEFT JOIN ({got}) ON dst = s.id, ({loose}))")
+    if tolerance is None:
+        return "WITH " + ", ".join(parts) + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+    stops = [k for k in range(1, rounds + 1) if k % every == 0 or k == rounds]
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, (SELECT max(abs(a.rank - b.rank)) FROM r{k} a JOIN r{k - 1} b USING (id)) AS moved" for k in stops)
+    whole = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in stops)
+    parts.append(f"m AS ({moved}), o AS (SELECT coalesce(min(k) FILTER (moved < {tolerance!r}), {rounds}) AS k FROM m)")
+    return "WITH " + ", ".join(parts) + f" SELECT id, round(rank, 6) AS rank FROM ({whole}) JOIN o USING (k)"
 
 
 def _nodes(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("id")).distinct()
 
 
-@query("G7_pagerank", _rank_sql(12, 0.85, "1.0 / n"))
+@query("G7_pagerank", _rank_sql(100, 0.85, "1.0 / n", tolerance=1e-6))
 def g7(t: Tables) -> DataFrame:
-    return G.pagerank(users(t), _nodes(t), rounds=12, tolerance=None).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(users(t), _nodes(t)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("G7_pagerank_warm", _rank_sql(100, 0.85, "1.0 / n", start="(1 + id % 5) / sum(1 + id % 5) OVER ()", tolerance=1e-6))
+def g7_warm(t: Tables) -> DataFrame:
+    """From stored ranks, which need not sum to 1."""
+    stored = _nodes(t).select("id", (1 + F.col("id") % 5).cast("double").alias("rank"))
+    return G.pagerank(users(t), _nodes(t), start=stored).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("G8_rank_by_parts", "WITH r AS (SELECT n_nationkey AS id, CAST(n_nationkey + 1 AS DOUBLE) / 325 AS rank FROM nation), p AS (SELECT c_nationkey AS id, c_custkey AS part, count(o_orderkey) AS refs FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY ALL) SELECT id, part, round(rank * CASE WHEN sum(refs) OVER (PARTITION BY id) > 0 THEN refs / sum(refs) OVER (PARTITION BY id) ELSE 1 / count(*) OVER (PARTITION BY id) END, 9) AS rank FROM p JOIN r USING (id)")
@@ -94,10 +106,10 @@ def g9(t: Tables) -> DataFrame:
     return G.undirected(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
-@query("G10_personalized_pagerank", _rank_sql(8, 0.75, "CASE id WHEN 3 THEN 0.5 WHEN 7 THEN 0.25 WHEN 11 THEN 0.25 ELSE 0 END").replace("round(rank, 6) AS rank", "round(rank / max(rank) OVER (), 6) AS rank"))
+@query("G10_personalized_pagerank", _rank_sql(25, 0.75, "CASE id WHEN 3 THEN 0.5 WHEN 7 THEN 0.25 WHEN 11 THEN 0.25 ELSE 0 END").replace("round(rank, 6) AS rank", "round(rank / max(rank) OVER (), 6) AS rank"))
 def g10(t: Tables) -> DataFrame:
     seeds = t.spark.createDataFrame([(3, 0.5), (7, 0.25), (11, 0.25)], "id long, share double")
-    ranks = G.pagerank(users(t), _nodes(t), damping=0.75, rounds=8, tolerance=None, seeds=seeds)
+    ranks = G.pagerank(users(t), _nodes(t), damping=0.75, rounds=25, tolerance=None, seeds=seeds)
     top = ranks.agg(F.max("rank").alias("top"))  # one row
     return ranks.join(F.broadcast(top)).select("id", F.round(F.col("rank") / F.col("top"), 6).alias("rank"))
 
@@ -110,11 +122,23 @@ def g11(t: Tables) -> DataFrame:
     return G.levels(chain(t), t.spark.createDataFrame([(7,)], "id long"), 3, backward=True).select("id", "level")
 
 
-@query("G12_impact", f"WITH RECURSIVE e AS ({_USERS}), r AS (SELECT user_id AS root, user_id AS id, 0 AS d FROM events GROUP BY ALL UNION SELECT root, e.src, d + 1 FROM r JOIN e ON r.id = e.dst WHERE d < 2), n AS (SELECT root, count(DISTINCT id) AS visited, count(DISTINCT id) FILTER (d = 1) AS callers FROM r GROUP BY 1) SELECT root AS id, callers, visited, CASE WHEN callers >= 15 THEN 'high' WHEN callers >= 5 THEN 'medium' ELSE 'low' END AS risk FROM n")
+@query("G12_impact", f"""
+WITH RECURSIVE e AS ({_USERS}),
+r AS (SELECT DISTINCT user_id AS root, user_id AS id, 0 AS d FROM events UNION SELECT root, e.src, d + 1 FROM r JOIN e ON r.id = e.dst WHERE d < 3),
+n AS (
+  SELECT root, count(DISTINCT id) AS visited, count(DISTINCT id) FILTER (d = 1 AND id <> root) AS refs,
+    count(DISTINCT id) FILTER (d = 1 AND id <> root AND id % 2 = 0) AS callers, count(DISTINCT id // 10) AS files FROM r GROUP BY 1)
+SELECT root AS id, callers, refs, visited, files,
+  CASE WHEN callers >= 15 OR files >= 20 THEN 'high' WHEN callers >= 5 OR files >= 8 THEN 'medium' ELSE 'low' END AS risk FROM n""")
 def g12(t: Tables) -> DataFrame:
-    got = G.levels(users(t), _nodes(t), 2, backward=True)
-    n = got.groupBy(F.col("root").alias("id")).agg(F.count_if(F.col("level") == 1).alias("callers"), F.count(F.lit(1)).alias("visited"))
-    return n.withColumn("risk", F.when(F.col("callers") >= 15, "high").when(F.col("callers") >= 5, "medium").otherwise("low"))
+    """Users of even number call, others refer; ten users are a file."""
+    got = G.levels(users(t), _nodes(t), 3, backward=True)
+    direct = F.col("level") == 1
+    n = got.groupBy(F.col("root").alias("id")).agg(
+        F.count_if(direct & (F.col("id") % 2 == 0)).alias("callers"), F.count_if(direct).alias("refs"), F.count(F.lit(1)).alias("visited"), F.countDistinct(F.floor(F.col("id") / 10)).alias("files")
+    )
+    high, medium = (F.col("callers") >= 15) | (F.col("files") >= 20), (F.col("callers") >= 5) | (F.col("files") >= 8)
+    return n.withColumn("risk", F.when(high, "high").when(medium, "medium").otherwise("low"))
 
 
 @query("G13_imports_within_2", _BFS.format(e=_CHAIN, to="e.dst", at="e.src", depth=2))
@@ -128,7 +152,8 @@ _WEIGHTS = "SELECT least(a, b) AS a, greatest(a, b) AS b, sum(w) AS weight FROM
 def _weighted(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     w = F.when(kind == "click", 1.0).when(kind == "view", 0.8).when(kind == "signup", 0.5).when(kind == "purchase", 0.3).otherwise(0.2)
-    rows = t.events.select(F.col("user_id").alias("a"), F.lead("user_id").over(Window.partitionBy("event_type").orderBy("event_id")).alias("b"), w.alias("weight"))
+    e = t.events.select("event_id", F.col("user_id").alias("a"), "event_type", w.alias("weight"))
+    rows = G.following(e, "event_id", "a", by="event_type").select("a", F.col("next").alias("b"), "weight")
     return G.weighted(rows.where("b IS NOT NULL"))
 
 

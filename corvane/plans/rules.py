@@ -38,12 +38,20 @@ def _edges(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/"), (F.col("doc_id") % 40).cast("string")).alias("f"), F.concat(F.lit("lang/"), "lang").alias("g"))
 
 
-@query("R3_rule_ids", "SELECT unnest([" + ", ".join(f"'{r.id}'" for r in RULES) + "]) AS rule, unnest([1, 2, 1]) AS level")
+def _rid(source: str, target: str) -> str:
+    """A rule's id in SQL: the first eight digits of the SHA-256 of its kind and patterns, parted by zero bytes."""
+    return f"substr(sha256('forbidden_dep' || chr(0) || '{source}' || chr(0) || '{target}'), 1, 8)"
+
+
+_FIRST, _SECOND, _DEAD = _rid("src/src1*/**", "lang/en"), _rid("src/*/?", "lang/**"), _rid("none/**", "lang/xx")
+
+
+@query("R3_rule_ids", f"SELECT unnest([{_FIRST}, {_SECOND}, {_DEAD}]) AS rule, unnest([1, 2, 1]) AS level")
 def r3(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r.id, U.SEVERITIES[r.severity]) for r in RULES], "rule string, level int")
 
 
-@query("R4_forbidden_dependencies", f"SELECT doc_id, f, g, CASE WHEN regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' THEN '{RULES[0].id}' ELSE '{RULES[1].id}' END AS rule, CASE WHEN regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' THEN 'advisory' ELSE 'blocking' END AS severity FROM ({_EDGES}) WHERE regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' OR regexp_matches(f, '^src/[^/]*/[^/]$')")
+@query("R4_forbidden_dependencies", f"SELECT doc_id, f, g, CASE WHEN regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' THEN {_FIRST} ELSE {_SECOND} END AS rule, CASE WHEN regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' THEN 'advisory' ELSE 'blocking' END AS severity FROM ({_EDGES}) WHERE regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' OR regexp_matches(f, '^src/[^/]*/[^/]$')")
 def r4(t: Tables) -> DataFrame:
     return U.first_rule(_edges(t), RULES, "f", "g")
 
@@ -78,7 +86,7 @@ def r9(t: Tables) -> DataFrame:
     return lines.where(F.col("txt").rlike("(token|key|password) *= *.")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.substring("txt", 1, 80).alias("snippet"))
 
 
-@query("R10_rule_coverage", f"WITH p AS (SELECT f AS p FROM ({_EDGES}) UNION SELECT g FROM ({_EDGES})) SELECT '{RULES[0].id}' AS rule, count(*) FILTER (regexp_matches(p, '^src/src1[^/]*/.*$')) AS sources, count(*) FILTER (p = 'lang/en' OR starts_with(p, 'lang/en/')) AS targets FROM p UNION ALL SELECT '{RULES[1].id}', count(*) FILTER (regexp_matches(p, '^src/[^/]*/[^/]$')), count(*) FILTER (starts_with(p, 'lang/')) FROM p UNION ALL SELECT '{RULES[2].id}', count(*) FILTER (starts_with(p, 'none/')), count(*) FILTER (p = 'lang/xx') FROM p")
+@query("R10_rule_coverage", f"WITH p AS (SELECT f AS p FROM ({_EDGES}) UNION SELECT g FROM ({_EDGES})) SELECT {_FIRST} AS rule, count(*) FILTER (regexp_matches(p, '^src/src1[^/]*/.*$')) AS sources, count(*) FILTER (p = 'lang/en' OR starts_with(p, 'lang/en/')) AS targets FROM p UNION ALL SELECT {_SECOND}, count(*) FILTER (regexp_matches(p, '^src/[^/]*/[^/]$')), count(*) FILTER (starts_with(p, 'lang/')) FROM p UNION ALL SELECT {_DEAD}, count(*) FILTER (starts_with(p, 'none/')), count(*) FILTER (p = 'lang/xx') FROM p")
 def r10(t: Tables) -> DataFrame:
     e = _edges(t)
     return U.rule_coverage(e.select(F.col("f").alias("p")).union(e.select("g")).distinct(), "p", RULES)
@@ -137,10 +145,16 @@ def r15(t: Tables) -> DataFrame:
     return f.where("pre > post AND post BETWEEN 1 AND 25 AND pre <= 40").groupBy("sites").agg(F.count(F.lit(1)).alias("features"), F.min("feature").alias("first"))
 
 
-@query("R16_firing_log")
+@query("R16_firing_log", """
+WITH k AS (
+  SELECT user_id AS site, ts, event_id, CASE WHEN event_type = 'error' THEN 'fire' WHEN event_type = 'view' THEN 'revert' WHEN event_type = 'signup' AND value < 1 THEN 'delete' END AS kind FROM events),
+s AS (SELECT *, lag(kind) OVER (PARTITION BY site ORDER BY ts, event_id) AS before FROM k WHERE kind IS NOT NULL),
+f AS (SELECT site, count(*) FILTER (kind = 'revert' AND before = 'fire') AS epoch, arg_max(kind, (ts, event_id)) AS last FROM s GROUP BY 1)
+SELECT DISTINCT site, coalesce(epoch, 0) AS epoch, CASE last WHEN 'fire' THEN 'present' WHEN 'revert' THEN 'changed' WHEN 'delete' THEN 'file_deleted' ELSE 'unknown' END AS status
+FROM (SELECT DISTINCT site FROM k) LEFT JOIN f USING (site)""")
 def r16(t: Tables) -> DataFrame:
-    kind = F.when(F.col("event_type") == "error", "fire").when(F.col("event_type") == "view", "revert").when((F.col("event_type") == "signup") & (F.col("value") < 1), "delete").otherwise("none")
-    return U.fold_sites(t.events.select(F.col("user_id").alias("site"), micros("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind")), "site")
+    kind = F.when(F.col("event_type") == "error", "fire").when(F.col("event_type") == "view", "revert").when((F.col("event_type") == "signup") & (F.col("value") < 1), "delete")
+    return U.fold_sites(t.events.select(F.col("user_id").alias("site"), F.col("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind")), "site")
 
 
 @query("R17_check_gate", f"SELECT severity, count(*) AS findings, severity = 'blocking' AS fails FROM (SELECT CASE WHEN regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' THEN 'advisory' ELSE 'blocking' END AS severity FROM ({_EDGES}) WHERE regexp_matches(f, '^src/src1[^/]*/.*$') AND g = 'lang/en' OR regexp_matches(f, '^src/[^/]*/[^/]$')) GROUP BY 1")

@@ -20,7 +20,7 @@ def cutoff(now: int, days: int = 90) -> int:
 
 def commit_files(spark: SparkSession, root: str, head: str = "HEAD", since: int = 0) -> DataFrame:
     """(hash, committed_at, author, file): files of commits by committer time, renames as two files."""
-    out = subprocess.run(["git", "-C", root, "log", "--name-only", "--no-renames", "--format=%x01%H%x02%ct%x02%an", head], capture_output=True, text=True, check=True).stdout
+    out = subprocess.run(["git", "-C", root, "-c", "core.quotePath=false", "log", "--name-only", "--no-renames", "--format=%x01%H%x02%ct%x02%ae", head], capture_output=True, text=True, check=True).stdout
     rows = []
     for part in out.split("\x01")[1:]:
         head_, *names = part.split("\n")
@@ -31,7 +31,7 @@ def commit_files(spark: SparkSession, root: str, head: str = "HEAD", since: int
 
 
 def first_parents(spark: SparkSession, root: str, most: int = 500) -> DataFrame:
-    out = subprocess.run(["git", "-C", root, "log", "--first-parent", f"-n{most}", "--format=%H%x02%ct%x02%an"], capture_output=True, text=True, check=True).stdout
+    out = subprocess.run(["git", "-C", root, "log", "--first-parent", f"-n{most}", "--format=%H%x02%ct%x02%ae"], capture_output=True, text=True, check=True).stdout
     return spark.createDataFrame([(h, int(at), a) for h, at, a in (x.split("\x02") for x in out.splitlines())], "hash string, committed_at long, author string")
 
 

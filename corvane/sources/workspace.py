@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Directories that a walk never enters.
-SKIP = frozenset((".git", "target", "node_modules", "build", "dist", ".venv", "venv", "__pycache__", ".dart_tool"))
+SKIP = frozenset(("target", "build", "node_modules", ".git", "dist", "out", "vendor", "__pycache__", ".claude"))
 MOST_LINES, MOST_REFS, LITERAL_KEY = 100_000, 15_000, 40
 SYMBOLS = "kind string, path string, qualified string, short string, symbol_kind string, start_line int, end_line int, parent string, docstring string, cyclomatic int, cognitive int, line int, name string, context string, imported string, alias string, text string"
 
