@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,15 +113,24 @@ def cochange_renamed(changes: DataFrame, name: str, *, cap: int = 50, least: int
     return got.select("name", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("n", "m")).alias("confidence"))
 
 
+CELLS = 64
+
+
 def narrowest(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, span_id: str, point_id: str) -> DataFrame:
     """Each point with the narrowest span of its key that holds it: point_id, span_id.
 
-    The range join is bucketed: a span is listed under each stretch of the key's typical span length that it touches, so that a
-    point meets the spans of one stretch only."""
+    The range join is bucketed: a span is listed under each stretch that it touches, and a point meets the spans of one stretch a
+    level. Stretches are the key's typical span length, times CELLS a level: a long span goes to the level at which it touches
+    CELLS + 1 stretches at most."""
     step = spans.select(F.greatest(F.lit(1), F.expr(f"percentile_approx({end} - {start}, 0.5)")).cast("long").alias("step"))  # one row
-    near = spans.crossJoin(F.broadcast(step)).withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / F.col("step")), F.floor(F.col(end) / F.col("step")))))
-    here = points.crossJoin(F.broadcast(step)).withColumn("cell", F.floor(F.col(at) / F.col("step"))).drop("step")
-    both = here.join(near.select(key, "cell", start, end, span_id), [key, "cell"]).where(F.col(at).between(F.col(start), F.col(end)))
+    long_ = (F.col(end) - F.col(start)) / (F.col("step") * CELLS)
+    level = F.when(long_ <= 1, 0).otherwise(F.ceil(F.log(long_) / math.log(CELLS))).cast("int")
+    size = (F.col("step") * F.pow(F.lit(CELLS), F.col("level"))).cast("long")
+    levelled = spans.crossJoin(F.broadcast(step)).withColumn("level", level).withColumn("size", size)
+    near = levelled.withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / F.col("size")), F.floor(F.col(end) / F.col("size")))))
+    levels = levelled.agg(F.collect_set("level").alias("levels"), F.first("step").alias("step"))  # one row, a few levels
+    here = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).withColumn("cell", F.floor(F.col(at) / size)).drop("step", "levels")
+    both = here.join(near.select(key, "level", "cell", start, end, span_id), [key, "level", "cell"]).where(F.col(at).between(F.col(start), F.col(end)))
     best = F.min(F.struct((F.col(end) - F.col(start)).alias("w"), F.col(start).alias("s"), F.col(span_id).alias("id")))
     return both.groupBy(point_id).agg(best.alias("x")).select(point_id, F.col("x.id").alias(span_id))
 
@@ -175,6 +186,24 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.join(new.select(keys).distinct(), keys, "left_anti").select(new.columns).union(new)
 
 
+def replace_all(df: DataFrame, path: str) -> DataFrame:
+    """The table at a path, replaced by df as a whole."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def tiered_alternatives(df: DataFrame, column: str, terms: str, order: list[str]) -> DataFrame:
+    """df's rows that a term of "A|B|C" finds, by its first such term: by equality where the term equals any value, else as a prefix.
+    tier is exact only if all terms that find anything are. Terms are literals of the plan."""
+    parts = [x for x in terms.split("|") if x]
+    equal = df.agg(*(F.bool_or(F.col(column) == x).alias(f"e{i}") for i, x in enumerate(parts)), *(F.bool_or(F.col(column).startswith(x)).alias(f"p{i}") for i, x in enumerate(parts)))  # one row
+    rows = df.join(F.broadcast(equal))
+    hit = [F.when(F.when(F.col(f"e{i}"), F.col(column) == x).otherwise(F.col(column).startswith(x)), i) for i, x in enumerate(parts)]
+    every = reduce(lambda p, q: p & q, (F.col(f"e{i}") | ~F.col(f"p{i}") for i in range(len(parts))))
+    found = rows.withColumn("term_no", F.coalesce(*hit)).withColumn("tier", F.when(every, "exact").otherwise("prefix"))
+    return found.where("term_no IS NOT NULL").select(*df.columns, "term_no", "tier")
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old, and the rows of new whose keys it lacks, one a key."""
     return old.union(new.join(old.select(keys), keys, "left_anti").dropDuplicates(keys).select(old.columns))

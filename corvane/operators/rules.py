@@ -134,6 +134,17 @@ def fold_sites(events: DataFrame, key: str) -> DataFrame:
     return events.select(key).distinct().join(folded, key, "left").select(key, F.coalesce("epoch", F.lit(0)).alias("epoch"), status.alias("status"))
 
 
+def normalised(path: Column) -> Column:
+    """A path without empty and . segments, each .. taking the segment before it."""
+    keep = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), keep), "/")
+
+
+def relative_to(path: Column, relative: Column) -> Column:
+    """A relative path from the directory of a file."""
+    return normalised(F.concat(F.regexp_replace(path, "[^/]*$", ""), relative))
+
+
 def render(rows: Iterator[dict], columns: list[str]) -> str:
     """A Markdown table."""
     lines = [" | ".join(columns), " | ".join("---" for _ in columns)]

@@ -186,10 +186,18 @@ def g18(t: Tables) -> DataFrame:
     return G.community_events(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community")), c.select(F.col("c_custkey").alias("id"), new.alias("community")))
 
 
-@query("G19_staleness", "SELECT abs(a - b) / b > 0.10 AS edges_moved, n <> 10000 AS files_moved FROM (SELECT count(*) AS a, count(*) FILTER (l_shipdate < TIMESTAMP '2000-01-01') AS b FROM lineitem), (SELECT count(*) AS n FROM events)")
+@query("G19_staleness", """
+SELECT abs(a - b) / b > 0.10 AS edges_moved, n <> 10000 AS files_moved, newest > TIMESTAMP '1998-01-01' AS newer_commit, config <> 'unknown' AS config_moved
+FROM (SELECT count(*) AS a, count(*) FILTER (l_shipdate < TIMESTAMP '2000-01-01') AS b FROM lineitem), (SELECT count(*) AS n FROM events),
+  (SELECT max(o_orderdate) AS newest FROM orders), (SELECT md5(string_agg(n_name, ',' ORDER BY n_nationkey)) AS config FROM nation)""")
 def g19(t: Tables) -> DataFrame:
+    """What has moved since a clustering that knew 10000 files, the lines up to 2000, commits up to 1998 and no configuration."""
     e = t.lineitem.agg(F.count(F.lit(1)).alias("a"), F.count_if(F.expr("l_shipdate < TIMESTAMP_NTZ '2000-01-01'")).alias("b"))
-    return e.join(F.broadcast(t.events.agg(F.count(F.lit(1)).alias("n")))).select((F.abs(F.col("a") - F.col("b")) / F.col("b") > 0.10).alias("edges_moved"), (F.col("n") != 10000).alias("files_moved"))
+    newest = t.orders.agg(F.max("o_orderdate").alias("newest"))
+    config = t.nation.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), ",").cast("binary")).alias("config"))
+    row = e.join(F.broadcast(t.events.agg(F.count(F.lit(1)).alias("n")))).join(F.broadcast(newest)).join(F.broadcast(config))  # one row each
+    moved = F.abs(F.col("a") - F.col("b")) / F.col("b") > 0.10
+    return row.select(moved.alias("edges_moved"), (F.col("n") != 10000).alias("files_moved"), F.expr("newest > TIMESTAMP_NTZ '1998-01-01'").alias("newer_commit"), (F.col("config") != "unknown").alias("config_moved"))
 
 
 @query("G20_uncoupled_cochange", "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) <= 30)), n AS (SELECT i, count(*) AS n FROM b GROUP BY i), p AS (SELECT x.i AS a, y.i AS b, count(*) AS shared FROM b x JOIN b y ON x.k = y.k AND x.i < y.i GROUP BY ALL) SELECT a AS item_a, b AS item_b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON a = na.i JOIN n nb ON b = nb.i JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b WHERE shared >= 2 AND x.s_nationkey <> y.s_nationkey")

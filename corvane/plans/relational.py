@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.iterate import shared_folder
 from .registry import Tables, micros, query
 
 
@@ -30,6 +33,13 @@ def f3(t: Tables) -> DataFrame:
     return R.alternatives(t.part, "p_name", "small ring|hot gear|old bolt", ["p_partkey"]).select("p_partkey", "p_name", "term_no")
 
 
+@query("F3_tiered_alternation", """
+SELECT p_partkey, p_name, CASE WHEN p_name = 'small ring' THEN 0 WHEN p_name = 'hot gear' THEN 1 ELSE 2 END AS term_no, 'prefix' AS tier
+FROM part WHERE p_name IN ('small ring', 'hot gear') OR starts_with(p_name, 'old')""")
+def f3_tiers(t: Tables) -> DataFrame:
+    return R.tiered_alternatives(t.part.select("p_partkey", "p_name"), "p_name", "small ring|hot gear|old", ["p_partkey"])
+
+
 @query("F4_prefix_like", r"SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#0000001%' AND c_name NOT LIKE '%7' AND c_mktsegment LIKE '%!_%' ESCAPE '!' OR starts_with(c_mktsegment, 'BUILD')")
 def f4(t: Tables) -> DataFrame:
     return t.customer.where(F.expr("c_name LIKE 'Customer#0000001%' AND c_name NOT LIKE '%7' AND c_mktsegment LIKE '%!_%' ESCAPE '!'") | F.col("c_mktsegment").startswith("BUILD")).select("c_custkey")
@@ -380,6 +390,13 @@ def k2(t: Tables) -> DataFrame:
     return t.lineitem.join(t.orders.where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("K3_full_replace", "SELECT n_nationkey AS id, lower(n_name) AS name FROM nation WHERE n_regionkey <> 2")
+def k3(t: Tables) -> DataFrame:
+    at = f"{shared_folder(t.spark)}/replaced-{uuid.uuid4().hex}"
+    R.replace_all(t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), at)
+    return R.replace_all(t.nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name")), at)
+
+
 @query("K4_insert_or_ignore", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT DISTINCT c_custkey, c_mktsegment FROM customer WHERE c_custkey < 100 AND c_custkey NOT IN (SELECT n_nationkey FROM nation)")
 def k4(t: Tables) -> DataFrame:
     old = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))

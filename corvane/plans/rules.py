@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import relational as R
 from ..operators import rules as U
 from ..operators import text as T
 from .graph import chain
-from .registry import Tables, micros, query
+from .registry import ORACLE_SQL, QUERIES, Tables, micros, query
 
 
 @query("R1_reference_ladder", "WITH r AS (SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'), c AS (SELECT event_id, 0 AS rung, n_nationkey AS target, 0 AS o FROM r JOIN nation ON n_nationkey = user_id UNION ALL SELECT event_id, 1, s_suppkey, abs(s_nationkey - 5) FROM r JOIN supplier ON s_nationkey = user_id % 30 WHERE event_type = 'click' UNION ALL SELECT event_id, 2, c_custkey, length(c_mktsegment) FROM r JOIN customer ON c_custkey = user_id AND event_type = 'view') SELECT r.event_id, arg_min(target, (rung, o, target)) AS target, CAST(min(rung) AS INTEGER) AS rung FROM r LEFT JOIN c USING (event_id) GROUP BY 1")
@@ -213,11 +215,30 @@ def r24(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "txt")).where("i < 500").select("doc_id", (F.col("i") + 1).cast("long").alias("line"), "txt")
 
 
-@query("R25_release_pack", "SELECT 'target' AS part, o_custkey AS id, n AS score FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20) UNION ALL SELECT 'dead', p_partkey, p_size FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 30) ORDER BY p_size DESC, p_partkey LIMIT 40)")
+@query("R25_release_pack", f"""
+WITH o2 AS ({ORACLE_SQL["O2_refactor_targets"]}), o4 AS ({ORACLE_SQL["O4_unreachable"]}), g6 AS ({ORACLE_SQL["G6_strong_components"]}), g20 AS ({ORACLE_SQL["G20_uncoupled_cochange"]}),
+dead AS (
+  SELECT p_partkey, p_size FROM (
+    SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 30)
+    QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 8) ORDER BY p_size DESC, p_partkey LIMIT 40),
+cycles AS (SELECT scc, count(*) AS n FROM g6 GROUP BY 1 ORDER BY n DESC, scc LIMIT 10)
+SELECT 'target' AS part, o_custkey AS a, NULL::BIGINT AS b, score::DOUBLE AS score FROM o2
+UNION ALL SELECT 'dead', p_partkey, NULL, p_size FROM dead
+UNION ALL SELECT 'unreachable', p_partkey, NULL, NULL FROM (SELECT * FROM o4 ORDER BY p_partkey LIMIT 20)
+UNION ALL SELECT 'cycle', scc, id, n FROM (SELECT g6.scc, id, n FROM g6 JOIN cycles USING (scc) QUALIFY row_number() OVER (PARTITION BY g6.scc ORDER BY id) <= 12)
+UNION ALL SELECT 'pair', item_a, item_b, jaccard FROM (SELECT * FROM g20 ORDER BY jaccard DESC, item_a, item_b LIMIT 20)""")
 def r25(t: Tables) -> DataFrame:
-    top = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
-    dead = R.without(t.part, t.lineitem.where("l_returnflag = 'N' AND l_quantity > 30").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"]).orderBy(F.desc("p_size"), "p_partkey").limit(40)
-    return top.select(F.lit("target").alias("part"), F.col("o_custkey").alias("id"), F.col("n").alias("score")).union(dead.select(F.lit("dead"), "p_partkey", F.col("p_size").cast("long")))
+    """Refactor targets, dead and unreachable candidates, cycles and uncoupled pairs, each section capped as its feature."""
+    of = lambda name: QUERIES[name](t.spark, t.sf_dir)
+    row = lambda df, part, a, b=None, score=None: df.select(F.lit(part).alias("part"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"))
+    live = t.lineitem.where("l_returnflag = 'N' AND l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    dead = R.top_per_group(R.without(t.part.select("p_partkey", "p_brand", "p_size"), live, ["p_partkey"]), ["p_brand"], [F.desc("p_size"), F.col("p_partkey")], 8, 40)
+    nodes = of("G6_strong_components")
+    cycles = nodes.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "scc").limit(10)
+    cycle = R.top_per_group(nodes.join(F.broadcast(cycles), "scc"), ["scc"], [F.col("id")], 12)
+    pairs = of("G20_uncoupled_cochange").orderBy(F.desc("jaccard"), "item_a", "item_b").limit(20)
+    sections = [row(of("O2_refactor_targets"), "target", "o_custkey", None, "score"), row(dead, "dead", "p_partkey", None, "p_size"), row(of("O4_unreachable").orderBy("p_partkey").limit(20), "unreachable", "p_partkey"), row(cycle, "cycle", "scc", "id", "n"), row(pairs, "pair", "item_a", "item_b", "jaccard")]
+    return reduce(DataFrame.union, sections)
 
 
 @query("R26_ranking_eval", "WITH r AS (SELECT user_id % 7 AS workspace, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank, event_type FROM events), h AS (SELECT workspace, user_id, min(rank) AS rank FROM r WHERE event_type = 'purchase' GROUP BY ALL) SELECT workspace, round(avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank < 3 THEN 1.0 ELSE 0 END), 6) AS top3, round(avg(1 / (rank + 1)), 6) AS mrr FROM h GROUP BY 1")
@@ -255,10 +276,17 @@ def d2(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg((F.greatest(F.max("ts"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))) < limit).alias("archived"))
 
 
-@query("X1_paths", r"SELECT page_id, regexp_replace(p, '/[^/]*$', '') AS parent, regexp_extract(p, '([^/]*?)(\.[^./]*)?$', 1) AS stem FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages)")
+@query("X1_paths", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages),
+s AS (SELECT page_id, p, string_split(regexp_replace(p, '[^/]*$', '') || CASE page_id % 3 WHEN 0 THEN '../x/./y' WHEN 1 THEN './/z' ELSE '../../../w' END, '/') AS parts FROM p)
+SELECT page_id, regexp_replace(p, '/[^/]*$', '') AS parent, regexp_extract(p, '([^/]*?)(\.[^./]*)?$', 1) AS stem,
+  array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(parts, lambda x: [x])),
+    lambda done, x: CASE WHEN x[1] IN ('', '.') THEN done WHEN x[1] = '..' THEN list_slice(done, 1, len(done) - 1) ELSE list_concat(done, x) END), '/') AS resolved FROM s""")
 def x1(t: Tables) -> DataFrame:
     p = t.pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1).alias("p"))
-    return p.select("page_id", F.regexp_replace("p", "/[^/]*$", "").alias("parent"), F.regexp_extract("p", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"))
+    relative = F.when(F.col("page_id") % 3 == 0, "../x/./y").when(F.col("page_id") % 3 == 1, ".//z").otherwise("../../../w")
+    stem = F.regexp_extract("p", r"([^/]*?)(\.[^./]*)?$", 1)
+    return p.select("page_id", F.regexp_replace("p", "/[^/]*$", "").alias("parent"), stem.alias("stem"), U.relative_to(F.col("p"), relative).alias("resolved"))
 
 
 @query("X2_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS doc FROM events")
