@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import shlex
 import subprocess
 import tomllib
 from pathlib import Path
@@ -45,6 +46,18 @@ def hunks(lines: DataFrame, order: str = "n", text: str = "line") -> DataFrame:
     return rows.select("diff", "file", at(1).cast("int").alias("old_start"), size(2).alias("old_len"), at(3).cast("int").alias("new_start"), size(4).alias("new_len"))
 
 
+def name_status(spark: SparkSession, root: str, old: str, new: str) -> DataFrame:
+    """(status, path, old_path): what changed between two revisions; a rename has both paths."""
+    out = subprocess.run(["git", "-C", root, "diff", "--name-status", "-M", "-z", old, new], capture_output=True, text=True, check=True).stdout
+    fields, rows = iter(out.split("\0")), []
+    for status in fields:
+        if status:
+            first = next(fields)
+            moved = status[0] in "RC"
+            rows.append((status[0], next(fields) if moved else first, first if moved else None))
+    return spark.createDataFrame(rows, "status string, path string, old_path string")
+
+
 def at_revision(root: str, revision: str, path: str) -> str | None:
     got = subprocess.run(["git", "-C", root, "show", f"{revision}:{path}"], capture_output=True, text=True)
     return got.stdout if got.returncode == 0 else None
@@ -58,3 +71,37 @@ def load_jsonc(text: str) -> dict:
     """JSON with comments and trailing commas."""
     bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
     return json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+
+
+def load_tsconfig(path: str) -> dict:
+    """A tsconfig file with what it extends below it; paths stay relative to the file that states them."""
+    own = load_jsonc(Path(path).read_text())
+    bases = own.pop("extends", [])
+    out: dict = {}
+    for base in [bases] if isinstance(bases, str) else bases:
+        at = Path(path).parent / base
+        at = at if at.suffix == ".json" else at.with_name(at.name + ".json")
+        if at.is_file():
+            got = load_tsconfig(str(at))
+            out = {**out, **got, "compilerOptions": {**out.get("compilerOptions", {}), **got.get("compilerOptions", {})}}
+    return {**out, **own, "compilerOptions": {**out.get("compilerOptions", {}), **own.get("compilerOptions", {})}}
+
+
+def cargo_dependencies(path: str) -> list[tuple[str, str, str]]:
+    """(name in code, package, kind) of a Cargo manifest; a renamed package has another name in code."""
+    manifest, out = load_toml(path), []
+    for kind in ("dependencies", "dev-dependencies", "build-dependencies"):
+        for name, value in manifest.get(kind, {}).items():
+            package = value.get("package", name) if isinstance(value, dict) else name
+            out.append((name.replace("-", "_"), package, kind))
+    return out
+
+
+def include_folders(path: str) -> dict[str, list[str]]:
+    """Folders given by -I for each file of a compile_commands.json."""
+    out: dict[str, list[str]] = {}
+    for entry in json.loads(Path(path).read_text()):
+        words = entry.get("arguments") or shlex.split(entry.get("command", ""))
+        after = [b for a, b in zip(words, words[1:], strict=False) if a == "-I"]
+        out[entry["file"]] = [x[2:] for x in words if x.startswith("-I") and len(x) > 2] + after
+    return out

@@ -10,6 +10,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -152,10 +153,71 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def changed(sources: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources to parse, paths to drop): files whose content hash is not the one indexed, and indexed files that are gone.
+    sources: path, content, content_hash; indexed: path, content_hash."""
+    todo = sources.join(indexed.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+    return todo.select(sources.columns), indexed.join(sources, "path", "left_anti").select("path").distinct()
+
+
+def replace_files(old: DataFrame, new: DataFrame, parsed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of an index (path, ...) with those of the files that were parsed again replaced and of files that are gone dropped.
+    parsed, gone: path."""
+    return old.join(parsed.select("path").union(gone.select("path")).distinct(), "path", "left_anti").select(new.columns).unionByName(new)
+
+
+def package_roots(paths: DataFrame) -> DataFrame:
+    """(root): directories that hold a top package, and the workspace itself, with a slash at the end."""
+    packages = paths.where(F.col("path").endswith("__init__.py")).select(F.regexp_replace("path", "/?__init__[.]py$", "").alias("d")).where("d <> ''")
+    parent = F.regexp_extract("d", "^(.*/)[^/]+$", 1)
+    top = packages.join(packages.select(F.concat("d", F.lit("/")).alias("parent")), parent == F.col("parent"), "left_anti")
+    return top.select(parent.alias("root")).union(paths.sparkSession.createDataFrame([("",)], "root string")).distinct()
+
+
+def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """imports with target_path: the module's file, else the package's, of ``from m import n`` the submodule n first, below each
+    package root; leading dots go up from the file's own directory. A file that would import itself, or none, gives null."""
+    dots = F.length(F.regexp_extract("imported", "^([.]*)", 1))
+    module = F.replace(F.regexp_replace("imported", "^[.]+", ""), F.lit("."), F.lit("/"))
+    folder = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    up = F.array_join(F.slice(folder, 1, F.greatest(F.size(folder) - (dots - 1), F.lit(0))), "/")
+    keyed = imports.withColumn("__id", F.xxhash64("path", "line", "imported", "name", "alias"))
+    under = keyed.select("__id", "path", "name", dots.alias("dots"), module.alias("module"), F.when(up == "", "").otherwise(F.concat(up, F.lit("/"))).alias("up")).distinct()
+    rooted = under.where("dots = 0").join(F.broadcast(package_roots(paths))).select("__id", "path", "name", "module", F.col("root").alias("base"))  # roots are few: one a source folder
+    both = rooted.union(under.where("dots > 0").select("__id", "path", "name", "module", "up"))
+    at = F.concat("base", "module")
+    inside = F.when(F.col("module") == "", F.col("base")).otherwise(F.concat(at, F.lit("/")))
+    whole = F.when(F.col("module") != "", F.concat(at, F.lit(".py")))
+    options = F.array(F.concat(inside, "name", F.lit(".py")), F.concat(inside, "name", F.lit("/__init__.py")), whole, F.concat(inside, F.lit("__init__.py")))
+    rows = both.select("__id", "path", F.posexplode(options).alias("priority", "target_path")).where("target_path IS NOT NULL AND target_path <> path")
+    best = rows.join(paths.select(F.col("path").alias("target_path")).distinct(), "target_path").groupBy("__id").agg(F.min_by("target_path", F.struct("priority", "target_path")).alias("target_path"))
+    return keyed.join(best, "__id", "left").drop("__id")
+
+
+RUNGS = ("same_file", "import", "external", "global")
+
+
 def resolve_calls(t: dict[str, DataFrame]) -> DataFrame:
-    """(path, line, name, target_path, target, rung): calls by the nearest symbol of the file, else the one symbol of that name."""
-    refs, symbols = t["refs"].where("context IN ('call', 'construction')").distinct(), t["symbols"].where("symbol_kind IN ('function', 'method', 'class')")
-    here = refs.join(symbols.select("path", F.col("short").alias("name"), "qualified", "start_line"), ["path", "name"]).groupBy("path", "line", "name", "context").agg(F.min_by(F.struct(F.col("path").alias("p"), "qualified"), F.struct(F.abs(F.col("line") - F.col("start_line")), "start_line")).alias("t")).withColumn("rung", F.lit("same_file"))
-    single = symbols.groupBy(F.col("short").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(F.col("path").alias("p"), "qualified")).alias("t")).where("n = 1").drop("n")
-    there = refs.join(here.select("path", "line", "name", "context"), ["path", "line", "name", "context"], "left_anti").join(single, "name").select("path", "line", "name", "context", "t", F.lit("global").alias("rung"))
-    return here.unionByName(there).select("path", "line", "name", F.col("t.p").alias("target_path"), F.col("t.qualified").alias("target"), "rung")
+    """(path, line, name, target_path, target, rung): calls and constructions by the ladder. The nearest symbol of the file; else
+    what an import of that name (or alias) leads to, in the module's file; a name from a module that is no file of the workspace is
+    external and has no target; else the one symbol of that name anywhere, of several the one of the shortest qualified name."""
+    at = ["path", "line", "name", "context"]
+    refs, symbols = t["refs"].where("context IN ('call', 'construction')").select(at).distinct(), t["symbols"].where("symbol_kind IN ('function', 'method', 'class')")
+    target = F.struct(F.col("path").alias("p"), "qualified")
+    here = refs.join(symbols.select("path", F.col("short").alias("name"), "qualified", "start_line"), ["path", "name"])
+    here = here.groupBy(at).agg(F.min_by(target, F.struct(F.abs(F.col("line") - F.col("start_line")), "start_line")).alias("t")).select(*at, F.lit(0).alias("rung"), "t")
+    named = t["imports"].where("import_kind = 'from_import'") if "target_path" in t["imports"].columns else None
+    rungs = [here]
+    if named is not None:
+        bound = named.select("path", F.coalesce("alias", "name").alias("name"), F.col("name").alias("original"), "target_path").distinct()
+        met = refs.join(bound, ["path", "name"])
+        there = met.join(symbols.select(F.col("path").alias("target_path"), F.col("short").alias("original"), "qualified"), ["target_path", "original"])
+        rungs.append(there.groupBy(at).agg(F.min(F.struct(F.length("qualified").alias("n"), F.col("target_path").alias("p"), "qualified")).alias("x")).select(*at, F.lit(1).alias("rung"), F.struct("x.p", "x.qualified").alias("t")))
+        none = F.lit(None).cast("struct<p:string,qualified:string>")
+        rungs.append(met.where("target_path IS NULL").select(at).distinct().select(*at, F.lit(2).alias("rung"), none.alias("t")))
+    short = F.struct(F.length("qualified").alias("n"), F.col("path").alias("p"), "qualified")
+    single = symbols.groupBy(F.col("short").alias("name")).agg(F.min(short).alias("x")).select("name", F.struct("x.p", "x.qualified").alias("t"))
+    rungs.append(refs.join(single, "name").select(*at, F.lit(3).alias("rung"), "t"))
+    best = reduce(DataFrame.union, rungs).groupBy(at).agg(F.min_by(F.struct("rung", "t"), "rung").alias("b"))
+    rung = F.element_at(F.array(*map(F.lit, RUNGS)), F.col("b.rung") + 1)
+    return best.select("path", "line", "name", F.col("b.t.p").alias("target_path"), F.col("b.t.qualified").alias("target"), rung.alias("rung"))

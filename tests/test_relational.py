@@ -99,6 +99,12 @@ def test_git_history_and_hunks(spark, tmp_path):
     assert sorted(r["file"] for r in rows) == ["a.txt", "a.txt", "b0.txt", "b1.txt"]
     assert H.first_parents(spark, str(tmp_path)).count() == 2
     assert H.at_revision(str(tmp_path), "HEAD~1", "a.txt") == "0\n"
+    assert {r["author"] for r in rows} == {"t@example.com"}
+    git("mv", "b1.txt", "ä b.txt")
+    git("commit", "-qm", "2")
+    assert sorted(map(tuple, H.name_status(spark, str(tmp_path), "HEAD~2", "HEAD~1").collect())) == [("A", "b1.txt", None), ("M", "a.txt", None)]
+    assert [tuple(r) for r in H.name_status(spark, str(tmp_path), "HEAD~1", "HEAD").collect()] == [("R", "ä b.txt", "b1.txt")]
+    assert "ä b.txt" in {r["file"] for r in H.commit_files(spark, str(tmp_path)).collect()}
     diff = "--- a/x\n+++ b/x\n@@ -1,2 +3 @@ f\n-a\n@@ -9 +8,4 @@\n".splitlines()
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(diff)], "diff int, n int, line string")
     assert [tuple(r) for r in H.hunks(lines).orderBy("old_start").collect()] == [(1, "x", 1, 2, 3, 1), (1, "x", 9, 1, 8, 4)]
@@ -108,6 +114,13 @@ def test_config_readers(tmp_path):
     assert H.load_jsonc('{"a": 1, // x\n "b": ["//y",],}') == {"a": 1, "b": ["//y"]}
     (tmp_path / "r.toml").write_text("[[rule]]\nfrom = 'a'\n")
     assert H.load_toml(str(tmp_path / "r.toml")) == {"rule": [{"from": "a"}]}
+    (tmp_path / "base.json").write_text('{"compilerOptions": {"strict": true, "baseUrl": "a"}}')
+    (tmp_path / "ts.json").write_text('{"extends": "./base", "compilerOptions": {"baseUrl": "b"}}')
+    assert H.load_tsconfig(str(tmp_path / "ts.json")) == {"compilerOptions": {"strict": True, "baseUrl": "b"}}
+    (tmp_path / "Cargo.toml").write_text("[dependencies]\nserde = '1'\nmy-json = {package = 'serde_json'}\n[dev-dependencies]\nproptest = '1'\n")
+    assert H.cargo_dependencies(str(tmp_path / "Cargo.toml")) == [("serde", "serde", "dependencies"), ("my_json", "serde_json", "dependencies"), ("proptest", "proptest", "dev-dependencies")]
+    (tmp_path / "cc.json").write_text('[{"file": "a.c", "command": "cc -Iinc -I other a.c"}]')
+    assert H.include_folders(str(tmp_path / "cc.json")) == {"a.c": ["inc", "other"]}
     assert H.cutoff(86_400 * 100 + 5) == 86_400 * 10
 
 
@@ -116,7 +129,7 @@ def test_registered_functions(spark):
 
     register(spark)
     row = spark.sql("SELECT tokenize('getUserName of the HTMLParser x9') AS t, token_estimate('one two three') AS n").first()
-    assert row.t == ["get", "user", "name", "htmlparser", "x9"] and row.n == 3
+    assert row.t == ["user", "name", "htmlparser", "x9"] and row.n == 3
 
 
 def test_render():
