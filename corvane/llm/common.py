@@ -1,9 +1,9 @@
 """What the training-data operators share: numpy tokenising and hashing of text batches, and session helpers.
 
-Words are the runs of bytes other than space and \\x09-\\x0D. A word of up to PLACES bytes is hashed by tabulation, a random
-64-bit number for each byte at each place, a longer one by xxh3. Short runs of words are hashed by polynomials modulo 2**64
-over the words' hashes, so that any range follows from two prefix sums; these stay sound for runs of tens of words, and
-longer ranges are hashed as sums over (window, place), see ``range_marks``.
+Words are the runs of bytes other than space and \\x09-\\x0D. A word of up to PLACES bytes is hashed eight bytes at a time, each
+step a bijection of its state mixed with them, so that words of up to eight bytes never collide; a longer one by xxh3. Short
+runs of words are hashed by polynomials modulo 2**64 over the words' hashes, so that any range follows from two prefix sums;
+these stay sound for runs of tens of words, and longer ranges are hashed as sums over (window, place), see ``range_marks``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACES = 64
-_TABLE = np.random.default_rng(20240607).integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 BATCH_BYTES = 16 << 20
 _pows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -134,20 +134,22 @@ class Words:
 
     def hashes(self, byte_map: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word; byte_map folds bytes first."""
+        buf = self.buf if byte_map is None else byte_map.astype(np.uint8)[self.buf]
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(buf) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
         out = np.empty(self.n, U64)
-        step = 1 << 18  # words at a time: the temporary arrays stay small
+        step = 1 << 17  # words at a time: the temporary arrays stay in the cache
         for i in range(0, self.n, step):
-            a, b = self.starts[i : i + step], self.ends[i : i + step]
-            lo, size = a[0], b - a
-            part = self.buf[lo : b[-1] + 1]  # each word with the space after it
-            part = part if byte_map is None else byte_map[part]
-            place = np.arange(len(part)) - np.repeat(a - lo, size + 1)
-            got = _TABLE[np.minimum(place, PLACES - 1), part]
-            sums = np.zeros(len(part) + 1, U64)
-            np.cumsum(got, out=sums[1:])
-            h = mix((sums[b - lo] - sums[a - lo]) ^ size.astype(U64))
+            start, size = self.starts[i : i + step], self.ends[i : i + step] - self.starts[i : i + step]
+            h = mix(size.astype(U64) * U64(_BASES[1]))
+            h = mix(h ^ (eight[start] & _FIRST_BYTES[np.minimum(size, 8)]))
+            for k in range(8, PLACES, 8):
+                at = np.flatnonzero(size > k)
+                if not len(at):
+                    break
+                h[at] = mix(h[at] ^ (eight[start[at] + k] & _FIRST_BYTES[np.minimum(size[at] - k, 8)]))
             for k in np.flatnonzero(size > PLACES).tolist():
-                h[k] = xxhash.xxh3_64_intdigest(part[a[k] - lo : b[k] - lo].astype(np.uint8).tobytes(), seed=int(size[k]))
+                h[k] = xxhash.xxh3_64_intdigest(buf[start[k] : start[k] + size[k]].tobytes(), seed=int(size[k]))
             out[i : i + step] = h
         return out
 
@@ -177,8 +179,8 @@ def longs_of(column: pa.Array | pa.ChunkedArray, null: int) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), null).to_numpy(zero_copy_only=False)
 
 
-def chunks(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about size bytes each (one text at least)."""
+def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about size bytes each (one text at least); small ones keep what is sorted and looked up in the cache."""
     a, held = 0, 0
     for i, t in enumerate(texts):
         if held and held + len(t) > size:

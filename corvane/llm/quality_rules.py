@@ -104,7 +104,7 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
-            parts = [measure(texts[a:b]) for a, b in chunks(texts)]
+            parts = [measure(texts[a:b]) for a, b in chunks(texts, 512 << 10)]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             if parts:
                 new = [pa.array(np.concatenate([p[c] for p in parts])) for c in names]

@@ -113,7 +113,7 @@ def _send(window: int, gram: int, hot: np.ndarray, buckets: int):
         group = t["__g"][0].as_py()
         ids, texts = longs_of(t["id"], _NULL_ID), texts_of(t["text"])
         out: dict[str, list] = {"__b": [], "__g": [], "blob": []}
-        for x, y in chunks(texts):
+        for x, y in chunks(texts, 4 << 20):  # what repeats inside goes out once
             runs = _Runs(texts[x:y], window, gram, hot)
             if not len(runs.key):
                 continue
