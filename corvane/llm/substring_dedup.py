@@ -6,14 +6,14 @@ counted, and equal hashes are compared as text. Four steps:
 
 1. One pass over the texts counts minimisers in a table of fixed size. Slots that hold far more than their share are
    hot: their minimisers lose to all others, so that a line found everywhere gathers no bucket. Windows made of
-   nothing but hot minimisers go by their own hash.
+   nothing but hot minimisers go into no bucket: their groups send digests of them, whose least doc_id two salted sums find.
 2. The documents are dealt into groups of some MB. Each group sends each distinct super-k-mer once, with the least and
    the largest doc_id that hold it: copies inside a group cost nothing.
 3. Each bucket finds, for each window, the least doc_id of all groups, and answers the groups whose largest doc_id is larger.
 4. Each group reads its texts again and removes what is covered by windows with a smaller doc_id elsewhere.
 
 Words and runs are told apart by 64-bit hashes that no text can aim at (see ``common``); in the buckets, where all groups
-meet, equal hashes of windows are compared as text too.
+meet, equal hashes of windows are compared as text too, and hot windows are told apart by 128-bit BLAKE2 digests of their words.
 
 Defined results: ids are whole numbers (others raise a TypeError); null text has no words; a null id counts as larger than
 all ids (2**63 - 1 is taken for it) and is returned as null; repeated rows (equal id) are never removed in favour of each
@@ -66,6 +66,8 @@ class _Runs:
         at = np.flatnonzero(ok)
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) != 1) | (key[at[1:]] != key[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+        if hot is not None:
+            first |= key[at] >= _TOP  # hot windows stand alone
         r = np.flatnonzero(first)
         self.windows = np.diff(np.append(r, len(at)))
         self.a = at[r]
@@ -118,7 +120,10 @@ def _send(window: int, gram: int, hot: np.ndarray, buckets: int):
             if not len(runs.key):
                 continue
             words, of = runs.words, ids[x:y][runs.doc.astype(np.int64)]
-            order = np.lexsort((runs.content, runs.key))
+            cold = np.flatnonzero(runs.key < _TOP)
+            if not len(cold):
+                continue
+            order = cold[np.lexsort((runs.content[cold], runs.key[cold]))]
             key, content, of = runs.key[order], runs.content[order], of[order]
             first = np.ones(len(order), bool)
             first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
@@ -140,6 +145,40 @@ def _send(window: int, gram: int, hot: np.ndarray, buckets: int):
     return run
 
 
+def _send_hot(window: int, gram: int, hot: np.ndarray):
+    """Each distinct window of hot minimisers alone, once for 4 MB of a group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, texts = longs_of(t["id"], _NULL_ID), texts_of(t["text"])
+        digests, marks, lows, highs = [], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in chunks(texts, 4 << 20):
+            runs = _Runs(texts[x:y], window, gram, hot)
+            at = np.flatnonzero(runs.key >= _TOP)
+            if not len(at):
+                continue
+            at = at[np.argsort(runs.content[at], kind="stable")]
+            content, of = runs.content[at], ids[x:y][runs.doc[at].astype(np.int64)]
+            f = np.flatnonzero(np.append(True, content[1:] != content[:-1]))
+            marks.append(content[f])
+            lows.append(np.minimum.reduceat(of, f))
+            highs.append(np.maximum.reduceat(of, f))
+            digests += [hashlib.blake2b(runs.words.joined(a, a + window), digest_size=16).digest() for a in runs.a[at[f]].tolist()]
+        group = pa.array([t["__g"][0].as_py()] * len(digests), pa.int32())
+        mark, low, high = np.concatenate(marks).view(np.int64), np.concatenate(lows), np.concatenate(highs)
+        return pa.table({"__g": group, "digest": pa.array(digests, pa.binary()), "mark": mark, "low": low, "high": high})
+
+    return run
+
+
+def _hot_answers(rows: DataFrame, salts: int = 64) -> DataFrame:
+    """The least id of each digest for the groups that hold a larger one. A digest that all groups hold is summed and answered in salts parts."""
+    rows = rows.withColumn("salt", F.pmod("__g", F.lit(salts))).repartition("digest", "salt")
+    part = rows.groupBy("digest", "salt").agg(F.min("low").alias("low"))
+    least = part.groupBy("digest").agg(F.min("low").alias("least"), F.collect_set("salt").alias("salt"))
+    told = least.select("digest", F.explode("salt").alias("salt"), "least")
+    return rows.join(told, ["digest", "salt"]).where("least < high").select("__g", F.lit(None).cast("binary").alias("blob"), "mark", "least")
+
+
 def _least_ids(hashes: np.ndarray, low: np.ndarray, word: np.ndarray, same) -> np.ndarray:
     """For each window the least id of its equals. word: its first word; same(i, j, n): n windows from i and from j on are equal as text."""
     order = np.argsort(hashes, kind="stable")
@@ -219,7 +258,10 @@ def _count(window: int):
 def _remove(id_col: str, text_col: str, window: int, gram: int, hot: np.ndarray, passed: list[str], want_text: bool):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         ids, texts = longs_of(docs[id_col], _NULL_ID), texts_of(docs[text_col])
-        told = [_unpack(b, [np.uint64, np.int32, np.int64])[0] for b in hits["blob"].to_pylist()]
+        told = [_unpack(b, [np.uint64, np.int32, np.int64])[0] for b in hits["blob"].to_pylist() if b is not None]
+        single = hits.filter(hits["mark"].is_valid())
+        if len(single):
+            told.append([longs_of(single["mark"], 0).view(U64), np.ones(len(single), np.int32), longs_of(single["least"], 0)])
         if told:
             content, n, least = (np.concatenate(x) for x in zip(*told, strict=True))
             order = np.argsort(content, kind="stable")
@@ -289,7 +331,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = docs.withColumn(g, F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")).repartition(g)
     mine = dealt.select(F.col(g).alias("__g"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = mine.groupBy("__g").applyInArrow(_send(window, gram, hot, int(buckets)), "__b int, __g int, blob binary")
-    hits = sent.groupBy("__b").applyInArrow(_count(window), "__g int, blob binary")
+    none = F.lit(None).cast("long")
+    hits = sent.groupBy("__b").applyInArrow(_count(window), "__g int, blob binary").select("__g", "blob", none.alias("mark"), none.alias("least"))
+    if hot.any():
+        rows = mine.groupBy("__g").applyInArrow(_send_hot(window, gram, hot), "__g int, digest binary, mark long, low long, high long")
+        hits = hits.union(_hot_answers(rows))
     passed = [c for c in docs.columns if want_text or c != text_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
     more = "n_words long, n_removed long, " + "kept_text string, " * want_text + "kept_sha256 string"

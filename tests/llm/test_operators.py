@@ -76,6 +76,17 @@ def test_substring_dedup(odd, none):
     assert B.dedup_substrings(none).count() == 0
 
 
+def test_passages_that_many_documents_share(spark, monkeypatch):
+    same = "ring " * 70
+    rows = [(k, " ".join((prose(30, 900 + k), PASSAGE, same if k % 3 else "", prose(20, 2000 + k))), "en", 0) for k in range(20, 320)]
+    rows += [(None, PASSAGE, "en", 0), (20, PASSAGE, "en", 0), (7, prose(200, 7), "en", 0)]
+    real, seen = B._hot_answers, []
+    monkeypatch.setattr(B, "_hot_answers", lambda found: seen.append(found) or real(found))
+    got = B.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == plain_substrings(rows)
+    assert seen[0].groupBy("digest").count().where("count > 1").count() > 0
+
+
 def test_equal_hashes_are_told_apart():
     same = lambda i, j, k: False
     same.text = lambda i: ["a", "b", "a"][i]
