@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 def glob_to_regex(pattern: str) -> str:
     """A glob as an anchored regular expression: ``*`` and ``?`` stay inside a path segment, ``**`` crosses segments."""
@@ -147,12 +149,30 @@ def surplus(found: DataFrame, accepted: DataFrame, keys: list[str], order: list[
     return numbered.join(accepted.select(*keys, count_col), keys, "left").where(F.col("__k") > F.coalesce(count_col, F.lit(0))).drop("__k", count_col)
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Rank in (0, 1) inside by, ties sharing the mean rank; 1 for a row alone."""
-    w = Window.partitionBy(by)
-    mean = F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2 - 1
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn(out, F.when(n <= 1, 1.0).otherwise(mean / (n - 1)))
+def average_rank(df: DataFrame, value: str, by: list[str], out: str, *, cells: int = 64) -> DataFrame:
+    """Rank in (0, 1) inside by, ties sharing the mean rank, nulls first; 1 for a row alone. value: a number. Distinct values are counted first and
+    each group's are cut into cells at approximate quantiles; a task orders the values of one cell, and the few cells of a group."""
+    counts = cut(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__ties")))  # read several times
+    splits = counts.groupBy(*by).agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 1000).alias("__splits"))
+    cell = F.size(F.filter(F.coalesce("__splits", F.array()), lambda x: x < F.col(value)))
+    celled = alike(counts, splits, by).withColumn("__cell", cell).drop("__splits")
+    before = (Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("__ties").over(Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(*before)), F.lit(0))
+    each = celled.groupBy(*by, "__cell").agg(F.sum("__ties").alias("__held"))
+    group = Window.partitionBy(*by)
+    base = F.coalesce(F.sum("__held").over(group.orderBy("__cell").rowsBetween(*before)), F.lit(0))
+    each = each.withColumn("__base", base).withColumn("__n", F.sum("__held").over(group)).drop("__held")
+    below = F.col("__base") + F.col("__inside") + (F.col("__ties") - 1) / 2
+    ranks = alike(celled.withColumn("__inside", inside), each, [*by, "__cell"]).select(*by, value, F.when(F.col("__n") <= 1, 1.0).otherwise(below / (F.col("__n") - 1)).alias(out))
+    return alike(df, ranks, [*by, value])
+
+
+def alike(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, where all keys are equal or null on both sides."""
+    names = [f"__right{i}" for i in range(len(keys))]
+    renamed = right.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *(c for c in right.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return left.join(renamed, same).drop(*names)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k, total: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Co-change fixtures, lookups, rules and sources."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -134,3 +135,18 @@ def test_registered_functions(spark):
 
 def test_render():
     assert U.render([{"a": 1, "b": 2}], ["a", "b"]).splitlines()[-1] == "| 1 | 2 |"
+
+
+def test_average_rank_against_plain_counting(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, *range(25)]), i) for i in range(400)] + [(9, 5, 400), (8, None, 401), (8, None, 402)]
+    rows += [(7, i * i, 500 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g long, v long, id long")
+    got = {r.id: r.rank for r in R.average_rank(df, "v", ["g"], "rank", cells=8).collect()}
+    key = lambda v: -1 if v is None else v
+    for g, v, i in rows:
+        mine = [key(w) for h, w, _ in rows if h == g]
+        below, ties = sum(w < key(v) for w in mine), mine.count(key(v))
+        assert got[i] == (1.0 if len(mine) == 1 else pytest.approx((below + (ties - 1) / 2) / (len(mine) - 1)))
+    assert len(got) == len(rows)
+    assert R.average_rank(df.limit(0), "v", ["g"], "rank").count() == 0
