@@ -137,3 +137,10 @@ def test_no_closure_where_none_is_asked_for(spark, monkeypatch, name):
     monkeypatch.setattr(G, "closure", refuse)
     monkeypatch.setattr(G, "closure_by_doubling", refuse)
     assert not QUERIES[name](spark, DATA).isEmpty()
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_the_maintained_closure_needs_no_doubling(spark, monkeypatch):
+    monkeypatch.setattr(G, "closure_by_doubling", None)
+    tc = QUERIES["ST2_maintained_closure"](spark, DATA)
+    assert tc.count() == tc.distinct().count() > 0
