@@ -129,7 +129,7 @@ def test_nulls_and_loops(spark):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["G4_reach_count", "G5_cycle_nodes", "G6_strong_components", "R6_cycles", "R25_release_pack", "ST1_edge_deltas", "ST3_maintained_counts", "ST3_maintained_cycles", "ST3_maintained_violations"])
+@pytest.mark.parametrize("name", ["G4_reach_count", "G5_cycle_nodes", "G6_strong_components", "R6_cycles", "R25_release_pack", "ST1_edge_deltas", "ST3_maintained_counts", "ST3_maintained_cycles", "ST3_maintained_violations", "ST4_forbidden_updates"])
 def test_no_closure_where_none_is_asked_for(spark, monkeypatch, name):
     def refuse(edges):
         raise AssertionError("the closure is built")
