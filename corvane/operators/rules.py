@@ -70,6 +70,13 @@ def resolve(refs: DataFrame, rungs: list[DataFrame], ref_id: str) -> DataFrame:
     return refs.select(ref_id).join(best, ref_id, "left").select(ref_id, "b.target", "b.rung")
 
 
+def best_of_key(candidates: DataFrame, key: str) -> DataFrame:
+    """Candidates (key, target, order...) of a rung that depend on the key alone: the one that `resolve` would choose of each key, so that
+    references that share a key do not meet all of its candidates."""
+    order = F.struct(*[c for c in candidates.columns if c not in (key, "target")], "target")
+    return candidates.groupBy(key).agg(F.min_by(F.struct(*[c for c in candidates.columns if c != key]), order).alias("b")).select(key, "b.*")
+
+
 def first_candidate(imports: DataFrame, id_col: str, candidates: Column, files: DataFrame, path: str) -> DataFrame:
     """Imports by the first of their candidate paths that is a file: id, path."""
     rows = imports.select(id_col, F.posexplode(candidates).alias("priority", path))

@@ -150,3 +150,12 @@ def test_average_rank_against_plain_counting(spark):
         assert got[i] == (1.0 if len(mine) == 1 else pytest.approx((below + (ties - 1) / 2) / (len(mine) - 1)))
     assert len(got) == len(rows)
     assert R.average_rank(df.limit(0), "v", ["g"], "rank").count() == 0
+
+
+def test_the_best_of_a_key_is_what_the_ladder_takes(spark):
+    refs = spark.range(4).selectExpr("id AS ref", "id % 2 AS k")
+    targets = spark.createDataFrame([(0, 5, 2), (0, 4, 2), (0, 9, 3), (1, 7, 1), (1, 6, None)], "k long, target long, o long")
+    best = U.best_of_key(targets, "k")
+    assert best.count() == 2
+    few, all_ = (U.resolve(refs, [refs.join(x, "k").select("ref", "target", "o")], "ref") for x in (best, targets))
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in all_.collect()} == {(0, 4, 0), (2, 4, 0), (1, 6, 0), (3, 6, 0)}
