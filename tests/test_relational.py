@@ -4,9 +4,11 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import relational as R
 from corvane.operators import rules as U
+from corvane.operators import text as T
 from corvane.operators import vector as V
 from corvane.sources import history as H
 from corvane.sources import workspace as W
@@ -159,3 +161,17 @@ def test_the_best_of_a_key_is_what_the_ladder_takes(spark):
     assert best.count() == 2
     few, all_ = (U.resolve(refs, [refs.join(x, "k").select("ref", "target", "o")], "ref") for x in (best, targets))
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in all_.collect()} == {(0, 4, 0), (2, 4, 0), (1, 6, 0), (3, 6, 0)}
+
+
+@pytest.mark.parametrize("block", [60, 32 << 20])
+def test_cosines_in_blocks_are_those_of_all_shared_tokens(spark, monkeypatch, block):
+    monkeypatch.setattr(T, "BLOCK_BYTES", block)
+    r = random.Random(3)
+    words = ["all", *(f"w{k}" for k in range(12))]
+    rows = [(i, " ".join(["all", *r.choices(words, k=r.randrange(1, 9))])) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (30, "all")], "id long, text string")  # the last has no weight at all
+    n = spark.createDataFrame([(31,)], "n long")
+    v = T.tf_idf(T.term_frequencies(docs, "id", "text"), n)
+    want = {(x.a, x.b): x.cosine for x in T.sparse_cosines(v.where("id % 4 = 0"), v).collect()}
+    got = T.cosines_to(docs, "id", "text", n, F.expr("id % 4 = 0")).collect()
+    assert len(got) == len(want) and all(abs(want[x.query, x.id] - x.cosine) < 1e-9 for x in got)
