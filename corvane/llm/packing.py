@@ -11,7 +11,8 @@ Pieces of one length are ranked without a gap by counts over (length, salt), so
 rows is dealt over many tasks; a piece's rank finds its run.
 
 Tokens: white-space-parted chunks never share a token, so each distinct chunk is tokenised once a worker; chunks of ASCII
-and Latin-1 letters go to the model directly, all others through the whole tokenizer. The cache is bounded.
+and Latin-1 letters are cut into the tokenizer's pieces, of which new ones go to the model; all other chunks
+go through the whole tokenizer. The caches of chunks and pieces are bounded.
 
 Defined results: a null or empty text is its end id alone; null ids are returned as null; repeated rows are packed each
 for itself; texts of any length are packed whole; an empty table gives an empty result; extra columns of documents play no
@@ -35,10 +36,11 @@ from .common import Words, bounded_batches, checkpointed, chunks, shuffle_partit
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_ROWS = 1_500_000
-#: The tokenizer file's own pattern, for chunks without white space, underscores counting as neither letter nor digit.
-_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_CACHE_PIECES = 400_000
+#: The tokenizer file's own pattern, for chunks parted by single spaces, underscores counting as neither letter nor digit.
+_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+| ")
 #: Letters of ASCII and Latin-1 and ASCII signs: lower case and composition act on each alone here.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[ !-~À-ÖØ-öø-ÿ]+")
 
 
 class Tokens:
@@ -52,27 +54,49 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.level = {chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x100)]}
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x100)]}
         self.clear()
+        self.clear_pieces()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.parts: dict[str, list[int]] = {}
-
-    def chunk(self, text: str) -> list[int]:
-        if not _PLAIN.fullmatch(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        if "<|" in text:
-            return self.whole.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for p in _PRE.findall(text.lower()):
-            got = self.parts.get(p)
-            if got is None:
-                got = self.parts[p] = [t.id for t in self.model.tokenize("".join(map(self.level.__getitem__, p)))]
-            out += got
-        return out
+
+    def clear_pieces(self) -> None:
+        self.pieces = {" ": 0}  # the rows of piece_at and piece_size; a space ends a chunk
+        self.piece_ids = np.zeros(0, np.uint32)
+        self.piece_at = self.piece_size = np.zeros(1, np.int64)
+
+    def chunks(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, each of which a space ends, and how many each has."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        texts = text.split(" ")[:-1]
+        plain = [bool(_PLAIN.fullmatch(x)) and "<|" not in x for x in texts]
+        odd = [self.whole.encode(x, add_special_tokens=False).ids for x, p in zip(texts, plain, strict=True) if not p]
+        ids, size = self._plain("".join(f"{x} " for x, p in zip(texts, plain, strict=True) if p))
+        is_plain, sizes = np.array(plain, bool), np.zeros(len(texts), np.int64)
+        sizes[is_plain], sizes[~is_plain] = size, [len(x) for x in odd]
+        out, mine = np.empty(sizes.sum(), np.uint32), np.repeat(is_plain, sizes)
+        out[mine], out[~mine] = ids, [t for x in odd for t in x]
+        return out, sizes
+
+    def _plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = _PRE.findall(text.lower())
+        if len(self.pieces) > _CACHE_PIECES:
+            self.clear_pieces()
+        new = [p for p in dict.fromkeys(found) if p not in self.pieces]
+        if new:
+            got = [[t.id for t in self.model.tokenize(p.translate(self.level))] for p in new]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.piece_at = np.concatenate([self.piece_at, len(self.piece_ids) + np.cumsum(size) - size])
+            self.piece_size = np.concatenate([self.piece_size, size])
+            self.piece_ids = np.concatenate([self.piece_ids, np.array([x for ids in got for x in ids], np.uint32)])
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+        row = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, bounds = _gathered(self.piece_ids, self.piece_at[row], self.piece_size[row])
+        return ids, np.diff(bounds[np.flatnonzero(row == 0)], prepend=0)
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and for each word boundary its place in them."""
@@ -82,20 +106,22 @@ class Tokens:
         i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[i] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            self.parts.clear()
-            got = [self.chunk(w.joined(k, k + 1).decode()) for k in first[new].tolist()]
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            start, end = w.starts[first[new]], w.ends[first[new]]
+            got, size = self.chunks(_gathered(w.buf, start, end + 1 - start)[0].tobytes().decode())
             at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, got])
             where = np.searchsorted(self.keys, keys[new])
             self.keys, self.at, self.size = np.insert(self.keys, where, keys[new]), np.insert(self.at, where, at), np.insert(self.size, where, size)
             i = np.searchsorted(self.keys, keys)
         row = i[inverse]
-        size = self.size[row]
-        bounds = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=bounds[1:])
-        step = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
-        return self.flat[np.repeat(self.at[row], size) + step], bounds
+        return _gathered(self.flat, self.at[row], self.size[row])
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat from at on, one after the other, and their bounds."""
+    bounds = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=bounds[1:])
+    return flat[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
 _tokens: dict[str, Tokens] = {}

@@ -712,3 +712,29 @@ def test_the_index_of_sums_misses_no_combination(seed):
             assert bool(three) == bool(triples) and (not three or (has(*three) and sum(three) == total))
         at = r.randrange(1, 25)
         left[at] = max(0, left[at] - 1)
+
+
+def test_pieces_of_tokens_are_kept_from_text_to_text(monkeypatch):
+    """A piece goes to the model once a worker, not once for each batch that holds it; also with a full cache ids are the tokenizer's."""
+    tokens = P.Tokens(public_tokenizers.path(P.TOKENIZER))
+    seen, model = [], tokens.model
+
+    class Counted:
+        def tokenize(self, x):
+            seen.append(x)
+            return model.tokenize(x)
+
+    tokens.model = Counted()
+    texts = ["Straße, don't 'stop' naïve_x 12,5", "Straße. <|endoftext|> stop; «naïve» x_12 日本 é", "", "STOP! don't x <| 日本 12", "12 naïve"]
+    for most in (100, 3):
+        monkeypatch.setattr(P, "_CACHE_PIECES", most, raising=False)
+        for text in texts:
+            w = P.Words([text.encode()])
+            if w.n:
+                ids, bounds = tokens.of(w)
+                each = [tokens.whole.encode(x, add_special_tokens=False).ids for x in text.split()]
+                assert ids.tolist() == sum(each, []) == tokens.whole.encode(text, add_special_tokens=False).ids
+                assert np.diff(bounds).tolist() == [len(x) for x in each]
+        if most == 100:
+            assert len(seen) == len(set(seen)) > 5
+        tokens.clear()
